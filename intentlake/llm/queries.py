@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentlake.llm import leakage, mixing, near_duplicates, neighbours, spam, splitting
+from intentlake.llm import leakage, mixing, near_duplicates, neighbours, spam, splitting, syntax
 from intentlake.plans.runtime import table
 
 
@@ -17,6 +17,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("n_pieces > 1").select("chunk_id").distinct()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.check_files(table(spark, sf_dir, "source_files")).where("n_errors > 0").select("file_id").distinct()
+
+
+def p2_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.check_files(table(spark, sf_dir, "source_files")).where("n_errors > 0").distinct()
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.failure_rates(table(spark, sf_dir, "source_files"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_duplicates.similar_pairs(table(spark, sf_dir, "chunks"), "chunk_id", "content")
     return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
@@ -65,7 +77,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p1_found, p1_pieces, p3_found, p3_groups, p4_found, p4_neighbours, p6_found, p6_removals, p7_found, p7_shares, p7_repeats, p8_found, p8_scores]
+    own = [p1_found, p1_pieces, p2_found, p2_errors, p2_rates, p3_found, p3_groups, p4_found, p4_neighbours, p6_found, p6_removals, p7_found, p7_shares, p7_repeats, p8_found, p8_scores]
     return {f.__name__: f for f in own}
 
 
