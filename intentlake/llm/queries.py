@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentlake.llm import leakage, mixing, near_duplicates, neighbours, spam, splitting, syntax
+from intentlake.llm import leakage, machine_made, mixing, near_duplicates, neighbours, spam, splitting, syntax
 from intentlake.plans.runtime import table
 
 
@@ -48,6 +48,15 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("vec_id"), "neighbour", "place", F.round("cosine", 6).alias("cosine"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return machine_made.machine_made(table(spark, sf_dir, "source_files")).where("generated or minified or vendored or data").select("file_id")
+
+
+def p5_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = machine_made.machine_made(table(spark, sf_dir, "source_files"))
+    return made.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in made.dtypes])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -77,7 +86,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p1_found, p1_pieces, p2_found, p2_errors, p2_rates, p3_found, p3_groups, p4_found, p4_neighbours, p6_found, p6_removals, p7_found, p7_shares, p7_repeats, p8_found, p8_scores]
+    own = [p1_found, p1_pieces, p2_found, p2_errors, p2_rates, p3_found, p3_groups, p4_found, p4_neighbours, p5_found, p5_features, p6_found, p6_removals, p7_found, p7_shares, p7_repeats, p8_found, p8_scores]
     return {f.__name__: f for f in own}
 
 
