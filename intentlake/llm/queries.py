@@ -90,5 +90,24 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
+_C = "c AS (SELECT DISTINCT ON (chunk_id) * FROM chunks)"
+SQL = {
+    "p1_found": f"WITH {_C} SELECT chunk_id FROM c LEFT JOIN index_params p USING (repo) WHERE length(content) > coalesce(p.chunk_size, 1500)",
+    "p3_found": f"""WITH {_C}, t AS (SELECT chunk_id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM c WHERE content IS NOT NULL),
+        s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t WHERE len(w) >= 40),
+        n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT x.chunk_id AS chunk_a, y.chunk_id AS chunk_b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.chunk_id < y.chunk_id GROUP BY 1, 2)
+        SELECT chunk_a, chunk_b FROM p JOIN n a ON a.chunk_id = chunk_a JOIN n b ON b.chunk_id = chunk_b WHERE shared >= 0.6 * (a.n + b.n - shared)""",
+    "p6_found": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        v AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+        d AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM w WHERE len(w) >= 12),
+        e AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM v WHERE len(w) >= 12)
+        SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)""",
+    "p7_found": """WITH t AS (SELECT regexp_replace(lower(source), '^\\s+|\\s+$', '', 'g') AS source, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]')) AS n FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(t.n), 0) AS n FROM mix_targets m LEFT JOIN t ON t.source = m.source GROUP BY ALL)
+        SELECT source FROM s WHERE max_repeats * n < target_share * (SELECT sum(n) FROM s)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
