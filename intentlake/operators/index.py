@@ -13,7 +13,6 @@ from intentlake.functions import text
 from intentlake.functions.packing import DEFAULT_SIZE, chunk_source
 from intentlake.functions.symbols import extract_symbols
 from intentlake.operators import ranking
-from intentlake.plans.runtime import spread
 from intentlake.sources.filetree import check_root, read_tree
 
 
@@ -48,7 +47,7 @@ def outline_files(files: DataFrame, size: int = DEFAULT_SIZE, keys: tuple[str, .
 
     A null or blank source has no chunks, a language without rules no symbols.
     """
-    rows = spread(files.select(*keys, F.col("language").cast("string").alias("language"), F.col("source").cast("string").alias("source")))
+    rows = files.select(*keys, F.col("language").cast("string").alias("language"), F.col("source").cast("string").alias("source"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "source")
     names = [*keys, "language", "chunks", "symbols"]
     return rows.mapInArrow(_outliner(size, names), f"{kinds}, chunks array<struct<content:string,start_line:bigint,end_line:bigint>>, symbols array<struct<name:string,kind:string,line:bigint>>")
