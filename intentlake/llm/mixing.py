@@ -125,6 +125,31 @@ def plan_frame(documents: DataFrame, targets: DataFrame) -> DataFrame:
     return documents.sparkSession.createDataFrame([tuple(vars(p).values()) for p in plans], PLAN)
 
 
+def temperature(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """The mixture that is as even as the targets without naming them: source, share, exponent, weight.
+
+    One exponent for all sources, the tempered shares normalised. It is the
+    largest up to 1 at which the entropy is that of the targets or more, found
+    by bisection, and then raised as far as the repetition limits demand (at 1
+    every source is used once, which each limit of 1 or more allows).
+    """
+    plans = mixture(documents, targets)[1]
+    wanted = read_targets(targets)
+    total = sum(p.tokens for p in plans)
+    shares = {p.source: p.tokens / total if total else 0.0 for p in plans}
+    positive = {s: t for s, (t, _) in wanted.items() if t > 0}
+    scale = sum(positive.values())
+    exponent = min(1.0, exponent_for_entropy(shares, entropy({s: t / scale for s, t in positive.items()}))) if scale and total else 1.0
+
+    def within(a: float) -> bool:
+        return all(w <= max(1, wanted[s][1]) * shares[s] + 1e-12 for s, w in tempered(shares, a).items())
+
+    if not within(exponent):
+        exponent = 1.0 - bisect(lambda d: within(1.0 - d), 0.0, 1.0 - exponent)
+    rows = [(s, shares[s], exponent, w) for s, w in sorted(tempered(shares, exponent).items())]
+    return documents.sparkSession.createDataFrame(rows, "source string, share double, exponent double, weight double")
+
+
 def draw(documents: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     """How often each document is used: doc_id, source, tokens, repeats; unused documents have 0.
 

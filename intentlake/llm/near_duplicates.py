@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from intentlake.llm.components import components
 from intentlake.llm.superminhash import U, bands, mix, shingles, signatures
@@ -15,6 +16,10 @@ from intentlake.plans.runtime import spread, store
 
 #: Slots of a band, and bands. A pair of similarity s shares a band with probability 1 - (1 - s**3)**24: 0.997 at 0.6.
 ROWS, BANDS = 3, 24
+#: Classes in a bucket from which they are compared by rare shingles and not pair by pair.
+HOT_BUCKET = 1000
+#: Copies of one text up to which links are expanded to all of them; larger groups are linked through their first member.
+MOST_COPIES = 1000
 
 SIGNED = pa.schema([("id", pa.int64()), ("class", pa.binary()), ("n", pa.int32()), ("shingles", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64()))])
 SIGNED_DDL = "id bigint, class binary, n int, shingles array<int>, bands array<bigint>"
@@ -67,19 +72,49 @@ def signed(records: DataFrame, id_column: str, text_column: str, width: int, lea
     return store(spread(rows).mapInArrow(_signer(width, least), SIGNED_DDL))
 
 
-def class_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, na, nb): candidates among sets (class, n, s), exactly all that can reach the threshold.
+
+    Two sets of similarity t share one of the n - ceil(t n) + 1 rarest members
+    of each (prefix filter), so what all sets have in common brings none
+    together unless they consist of it.
+    """
+    members = sets.select("class", "n", F.explode("s").alias("g"))
+    rarity = members.groupBy("g").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("class").orderBy("df", "g")  # a partition is one set
+    kept = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    prefix = members.join(rarity, "g").withColumn("r", F.row_number().over(order)).where(F.col("r") <= kept)
+    return _meet(prefix.select("class", "n", F.col("g").alias("key")), threshold)
+
+
+def _meet(posted: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of (class, n) that share a key, whose sizes allow the threshold; AQE splits a large key over tasks."""
+    x = posted.select(F.col("class").alias("a"), F.col("n").alias("na"), "key")
+    y = posted.select(F.col("class").alias("b"), F.col("n").alias("nb"), "key")
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    return x.join(y, "key").where(fits).select("a", "b", "na", "nb").distinct()
+
+
+def class_pairs(rows: DataFrame, threshold: float, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(a, b, similarity), a < b: pairs of classes at or above the threshold, verified on their sets.
 
     Classes are merged before banding, so a group of copies weighs no more than
-    one record. A bucket's members meet in an equi-join on the band's key that
-    keeps only pairs whose sizes allow the threshold; AQE splits a large bucket
-    over tasks. Sets travel only for classes that are in a candidate pair.
+    one record. The members of a bucket meet in an equi-join on the band's key
+    that keeps only pairs whose sizes allow the threshold. Buckets of more than
+    `hot_bucket` classes, as boilerplate makes them, take no part in it: their
+    classes are compared by prefix_pairs(), which loses no pair either. Sets
+    travel only for classes that are in a candidate pair.
     """
     classes = rows.groupBy("class").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     posted = classes.select("class", "n", F.explode("bands").alias("key"))
-    x, y = posted.select(F.col("class").alias("a"), F.col("n").alias("na"), "key"), posted.select(F.col("class").alias("b"), F.col("n").alias("nb"), "key")
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    candidates = store(x.join(y, "key").where(fits).select("a", "b", "na", "nb").distinct())
+    hot = store(posted.groupBy("key").count().where(F.col("count") > hot_bucket).select("key"))
+    if hot.isEmpty():
+        candidates = _meet(posted, threshold)
+    else:
+        boiler = posted.join(hot, "key", "left_semi").select("class").distinct()
+        sets = rows.join(boiler, "class", "left_semi").groupBy("class").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("s"))
+        candidates = _meet(posted.join(hot, "key", "left_anti"), threshold).unionByName(prefix_pairs(sets, threshold)).distinct()
+    candidates = store(candidates)
     needed = candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = rows.select("class", "shingles").join(needed, "class", "left_semi").groupBy("class").agg(F.any_value("shingles").alias("s"))
     both = candidates.join(sets.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b")
@@ -87,21 +122,29 @@ def class_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", (shared / (F.col("na") + F.col("nb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def similar_pairs(records: DataFrame, id_column: str, text_column: str, threshold: float = 0.6, width: int = 3, least: int = 40) -> DataFrame:
+def similar_pairs(records: DataFrame, id_column: str, text_column: str, threshold: float = 0.6, width: int = 3, least: int = 40, most_copies: int = MOST_COPIES, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(a, b), a < b: all pairs of records with similarity at or above `threshold`.
 
-    The links between classes are expanded to their members here, as the wanted
-    result names records; near_duplicate_groups() is the form for large groups.
-    Null ids and texts and short texts take no part; a record that comes again
-    counts once. No records, no rows.
+    The links between classes are expanded to their members, as the wanted
+    result names records. A group of more than `most_copies` records with the
+    same shingles isn't: each of its records is linked with the group's first,
+    which carries the group's links with others, so that no link between
+    different texts is lost and the result stays in proportion.
+    near_duplicate_groups() has this form throughout. Null ids and texts and
+    short texts take no part; a record that comes again counts once.
     """
     rows = signed(records, id_column, text_column, width, least)
     members = rows.select("id", "class").distinct()
-    links = class_pairs(rows, threshold)
-    left, right = members.select(F.col("id").alias("x"), F.col("class").alias("a")), members.select(F.col("id").alias("y"), F.col("class").alias("b"))
+    heads = members.groupBy("class").agg(F.min("id").alias("head"), (F.count("*") > most_copies).alias("large"))
+    members = store(members.join(heads, "class"))
+    links = class_pairs(rows, threshold, hot_bucket)
+    named = members.where("not large or id = head")
+    left, right = named.select(F.col("id").alias("x"), F.col("class").alias("a")), named.select(F.col("id").alias("y"), F.col("class").alias("b"))
     across = links.select("a", "b").join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    within = left.join(right, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return across.unionByName(within)
+    small = members.where("not large")
+    within = small.select(F.col("id").alias("x"), "class").join(small.select(F.col("id").alias("y"), "class"), "class").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    star = members.where("large and id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    return across.unionByName(within).unionByName(star)
 
 
 def near_duplicate_groups(records: DataFrame, id_column: str, text_column: str, threshold: float = 0.6, width: int = 3, least: int = 40) -> DataFrame:

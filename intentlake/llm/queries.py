@@ -77,6 +77,11 @@ def p7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = mixing.temperature(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return even.select("source", *[F.round(c, 6).alias(c) for c in ("share", "exponent", "weight")])
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_scores(table(spark, sf_dir, "documents")).where("is_spam").select("doc_id").distinct()
 
@@ -86,7 +91,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p1_found, p1_pieces, p2_found, p2_errors, p2_rates, p3_found, p3_groups, p4_found, p4_neighbours, p5_found, p5_features, p6_found, p6_removals, p7_found, p7_shares, p7_repeats, p8_found, p8_scores]
+    own = [p1_found, p1_pieces, p2_found, p2_errors, p2_rates, p3_found, p3_groups, p4_found, p4_neighbours, p5_found, p5_features, p6_found, p6_removals, p7_found, p7_shares, p7_repeats, p7_temperature, p8_found, p8_scores]
     return {f.__name__: f for f in own}
 
 

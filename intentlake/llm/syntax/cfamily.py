@@ -314,7 +314,7 @@ class CParser(Parser):
         j = self.i + 2
         while self.k[j] == "*":
             j += 1
-        return self.k[j] == ")" and (self.k[j + 1] in (NAME, NUMBER, STRING) or self.k[j + 1] in "(!~{" + C("sizeof") and j > self.i + 2 or self.k[j + 1] in "!~")
+        return self.k[j] == ")" and (self.k[j + 1] in (NAME, NUMBER, STRING) or self.k[j + 1] in "(!~{" + C("sizeof") and j > self.i + 2 or self.k[j + 1] in "!~{")
 
     def operand(self) -> None:
         c = self.k[self.i]
@@ -388,9 +388,8 @@ class JavaParser(CParser):
     modifiers = frozenset(J("abstract final native private protected public static strictfp synchronized transient volatile default"))
 
     def after_operator(self, op: str) -> None:
-        if op == ">":
-            while self.k[self.i] == ">":
-                self.i += 1
+        if op == ">" and self.eat(">"):
+            self.eat(">")
 
     def operators(self, least: int) -> None:
         while True:

@@ -20,6 +20,8 @@ class RustKinds(Kinds):
     def __missing__(self, token: str) -> str:
         if token[0] == "'" and (len(token) < 3 or token[-1] != "'"):
             return LIFE
+        if token[-1] == "#" and '"' in token:
+            return STRING
         if token.startswith("r#") and token[-1] not in '"#':
             return NAME
         return super().__missing__(token)

@@ -535,7 +535,7 @@ class ScriptParser(Parser):
         c = self.k[self.i]
         if c in NAMES:
             n = self.k[self.i + 1]
-            if (n == S("=>") or c == S("async") and (n in NAMES or n == "(") and self.k[self.i + 2] != END) and self.attempt(self.arrow):
+            if (n == S("=>") or c == S("async") and (n in NAMES or n == "(" or n == "<" and self.typed) and self.k[self.i + 2] != END) and self.attempt(self.arrow):
                 self.arrow_body()
                 return
         elif c == "(" or c == "<" and self.typed:
@@ -584,9 +584,8 @@ class ScriptParser(Parser):
             if op == ">" and (self.k[self.i + 1] == S(">=") or self.k[self.i + 1 : self.i + 3] == ">" + S(">=")):
                 return
             self.i += 1
-            if op == ">":
-                while self.k[self.i] == ">":
-                    self.i += 1
+            if op == ">" and self.eat(">"):
+                self.eat(">")
             self.expression(precedence if op in self.right else precedence + 1)
 
     def operand(self) -> None:
@@ -811,7 +810,7 @@ class TypeScriptParser(ScriptParser):
 
     def type_operand(self) -> None:
         c = self.k[self.i]
-        if c == NAME and self.k[self.i + 1] in NAMES and self.i + 1 not in self.after_line:
+        if c == NAME and self.k[self.i + 1] in NAME + S("typeof") and self.i + 1 not in self.after_line:
             self.i += 1  # keyof, readonly, infer, unique
             self.type_operand()
             return
@@ -854,9 +853,7 @@ class TypeScriptParser(ScriptParser):
             self.fail("expected a type")
         while self.k[self.i] == "[" and not self.newline():
             self.i += 1
-            if not self.eat("]"):
-                self.type()
-                self.need("]", "]")
+            self.comma_list(self.tuple_item, "]", "]")
 
     def tuple_item(self) -> None:
         self.eat(S("..."))
