@@ -57,26 +57,34 @@ def cosine_topk(rows: DataFrame, query: list[float], k: int, keys: list[str], ve
 QUERY_BLOCK = 4096
 
 
+def _best(query: np.ndarray, key: np.ndarray, similarity: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best entries of each query number, ties by the smaller key."""
+    order = np.lexsort((key, -similarity, query))
+    query, key, similarity = query[order], key[order], similarity[order]
+    starts = np.searchsorted(query, query)
+    keep = np.arange(len(query)) - starts < k
+    return query[keep], key[keep], similarity[keep]
+
+
 def _partial_topk(queries, k: int, width: int):
     schema = pa.schema([("query_id", pa.int64()), ("key", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = queries.value
-        best: list[np.ndarray] | None = None
+        least = np.full(len(q), -np.inf)
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             m = np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, width)
             length = np.sqrt((m * m).sum(axis=1))
-            m = m / np.where(length > vectors.LEAST_NORM, length, 1.0)[:, None]
-            s = q @ m.T
-            keys = np.broadcast_to(keys, s.shape)
-            if best is not None:
-                s, keys = np.concatenate([best[0], s], axis=1), np.concatenate([best[1], keys], axis=1)
-            # order by similarity, then key, rounded alike on every path
-            order = np.lexsort((keys, -s), axis=1)[:, :k]
-            best = [np.take_along_axis(s, order, 1), np.take_along_axis(keys, order, 1)]
-        if best is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best[0].shape[1])), pa.array(best[1].ravel()), pa.array(best[0].ravel())], schema=schema)
+            s = q @ (m / np.where(length > vectors.LEAST_NORM, length, 1.0)[:, None]).T
+            # after a few batches hardly anything reaches what is held already
+            rows, cols = np.nonzero(s >= least[:, None])
+            held = _best(np.concatenate((held[0], rows)), np.concatenate((held[1], keys[cols])), np.concatenate((held[2], s[rows, cols])), k)
+            counts = np.bincount(held[0], minlength=len(q))
+            full = np.flatnonzero(counts == k)
+            least[full] = held[2][np.cumsum(counts)[full] - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], schema=schema)
 
     return run
 
