@@ -63,9 +63,9 @@ def outline(source: str, language: str) -> list[Node]:
 
 
 class _Braces:
-    GOES_ON = re.compile(r"\s*(?:else\b|catch\b|finally\b|while\b\s*\(|[,.)\]=;?:&|+*/%<>-])")
+    GOES_ON = re.compile(r"\s*(?:else\b|catch\b|finally\b|while\b\s*\(|[,.)\];?=])|[ \t]*(?:[-+*%<>&|:]|/(?![/*]))")
     OPEN_LINE = re.compile(r"(?:[,({\[=+\-*/%&|<>?:.]|=>|->|&&|\|\|)\s*\Z")
-    CONTINUES = re.compile(r"\s*(?:[.)\]}?:&|+*/%=<>,]|else\b|catch\b|finally\b|\{)")
+    CONTINUES = re.compile(r"\s*(?:[.)\]}?:&|+*%=<>,]|/(?![/*])|else\b|catch\b|finally\b|\{)")
 
     def __init__(self, source: str, language: str) -> None:
         self.source, self.language = source, language

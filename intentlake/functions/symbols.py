@@ -82,6 +82,8 @@ RULES: dict[str, list[tuple[re.Pattern, str]]] = {
 }
 #: Languages in which functions inside of these count as methods.
 OWNERS = {"rust": re.compile(r"^\s*(?:unsafe\s+)?(?:pub(?:\([^)]*\))?\s+)?(?:impl|trait)\b", re.MULTILINE), "swift": re.compile(r"\b(?:class|struct|enum|extension|protocol|actor)\s+\w")}
+#: What looks like a call or a declaration where no keyword marks a function.
+UNMARKED = frozenset({"javascript", "typescript", "java", "c", "cpp"})
 NOT_FUNCTIONS = frozenset("if for while switch return sizeof catch else do case new throw defined".split())
 
 
@@ -97,7 +99,7 @@ def extract_symbols(source: str | None, language: str | None) -> list[tuple[str,
     for pattern, kind in rules:
         for m in pattern.finditer(mask):
             name = m[1]
-            if name in NOT_FUNCTIONS and kind in ("function", "method"):
+            if language in UNMARKED and name in NOT_FUNCTIONS and kind in ("function", "method"):
                 continue
             what = kind
             if kind in ("function", "property") and owned and any(a <= m.start(1) < b for a, b in owned):
