@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from intentlake.functions import text, vectors
 from intentlake.functions.encoders import HashEncoder
 from intentlake.operators import index, ranking
-from intentlake.plans.runtime import latest, table
+from intentlake.plans.runtime import latest, spread, table
 from intentlake.sources import paths
 
 QUERIES: dict = {}
@@ -210,17 +210,30 @@ def symbol_chunk_join(spark, sf_dir):
     return index.attach_symbols(chunks, defined, ("file_id",), ("chunk_id",)).select("chunk_id", F.array_join("symbols", " ").alias("names"))
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the files as they are scanned, so that the outlines are made where the files lie."""
+    files = spread(table(spark, sf_dir, "source_files").select("file_id", "file_path", "source", "loaded_at"))
+    return files.withColumn("language", paths.language(paths.slashes(F.col("file_path"))))
+
+
+def _newest(rows: DataFrame, *key: str) -> DataFrame:
+    """Of each file's rows those of its latest version, each key once."""
+    last = F.max("loaded_at").over(Window.partitionBy("file_id"))
+    return rows.withColumn("_last", last).where(F.col("loaded_at").eqNullSafe(F.col("_last"))).drop("_last", "loaded_at").dropDuplicates(list(key))
+
+
 @query()
 def chunk_source_files(spark, sf_dir):
     """Admitted files cut along their outlines, with the symbols of each chunk."""
-    files = paths.admitted(_files(spark, sf_dir, "file_path", "source"), text_files=True)
-    return index.chunk_files(files.withColumn("language", paths.language(paths.slashes(F.col("file_path")))), keys=("file_id", "file_path"))
+    files = paths.admitted(_versions(spark, sf_dir), text_files=True)
+    return _newest(index.chunk_files(files, keys=("file_id", "file_path", "loaded_at")), "file_id", "chunk_no")
 
 
 @query()
 def extract_symbols(spark, sf_dir):
-    files = _files(spark, sf_dir, "file_path", "source").withColumn("language", paths.language(paths.slashes(F.col("file_path"))))
-    return index.symbols_of(files, ("file_id",))
+    """Definitions with their kind and line; two of one name on one line, as minified text has them, come once."""
+    found = index.symbols_of(_versions(spark, sf_dir), ("file_id", "loaded_at"))
+    return _newest(found, "file_id", "line", "name", "kind")
 
 
 @query()
