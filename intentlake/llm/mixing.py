@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 #: Runs of letters and digits, and each other character that is no white space.
 TOKEN = r"(?U)[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
-#: Blocks a source is dealt into; a block is the unit of the permutations.
-BLOCKS = 1024
+#: Blocks a source is dealt into, the units of the permutations: so many at least, and one for each so many documents.
+BLOCKS, BLOCK_DOCUMENTS = 1024, 10_000
 
 
 def entropy(weights: dict[str, float]) -> float:
@@ -161,7 +161,8 @@ def draw(documents: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     own, plans = mixture(documents, targets)
     spark = documents.sparkSession
     budgets = spark.createDataFrame([(p.source, int(p.passes + 1e-9), max(0.0, p.weight * sum(q.tokens for q in plans) - int(p.passes + 1e-9) * p.tokens)) for p in plans], "source string, whole int, rest double")
-    own = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BLOCKS)))
+    dealt_into = max(BLOCKS, -(-own.count() // BLOCK_DOCUMENTS))
+    own = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(dealt_into)))
     blocks = own.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"))
     order = Window.partitionBy("source").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.withColumn("before", F.coalesce(F.sum("block_tokens").over(order), F.lit(0))).join(budgets, "source")
