@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from intentlake.operators.ranking import batch_topk
+from intentlake.operators.ranking import _best, batch_topk
 from intentlake.plans.runtime import spread, store
 
 #: Nearest pivots of a vector that make up its (cut) permutation; it is posted under each.
@@ -24,6 +24,10 @@ PER_PIVOT, MAX_PIVOTS = 32, 8192
 RERANK = 96
 #: Postings of one pivot that one task compares; longer lists are compared block by block.
 BLOCK = 1024
+#: Cosine from which the index reaches its recall; a vector whose k-th neighbour by the index lies below is compared with all.
+NEAR = 0.8
+#: Vectors that are compared with all others at a time, sent to all executors (at 64 x 4 bytes each, 2 MB).
+FAR_BLOCK = 8192
 
 UNIT = pa.schema([("id", pa.int64()), ("class", pa.binary()), ("v", pa.list_(pa.float32()))])
 
@@ -155,9 +159,62 @@ def class_neighbours(classes: DataFrame, width: int, k: int, floor: float) -> Da
     return merged.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
 
 
-def most_similar(vectors: DataFrame, id_column: str, vector_column: str, width: int = 64, k: int = 5, floor: float = -1.0) -> DataFrame:
+def _scanner(asked, k: int, width: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, bound = asked.value
+        least = bound.copy()
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            keys = batch.column(0).to_numpy()
+            s = q @ np.asarray(batch.column(1).flatten(), np.float32).reshape(-1, width).T
+            rows, cols = np.nonzero(s >= least[:, None])
+            other = ids[rows] != keys[cols]
+            rows, cols = rows[other], cols[other]
+            held = _best(np.concatenate((held[0], rows)), np.concatenate((held[1], keys[cols])), np.concatenate((held[2], s[rows, cols])), k)
+            counts = np.bincount(held[0], minlength=len(q))
+            full = np.flatnonzero(counts == k)
+            least[full] = held[2][np.cumsum(counts)[full] - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], schema=schema)
+
+    return run
+
+
+def far_neighbours(classes: DataFrame, links: DataFrame, width: int, k: int) -> DataFrame:
+    """(a, b, cosine): the k nearest others of each class whose k-th link lies below NEAR, by comparison with all.
+
+    Far neighbours are close to random directions, which no permutation tells
+    apart. The links of the index give each class the cosine that another must
+    reach, so a task passes on hardly more than what is missing. The classes
+    are asked in blocks of FAR_BLOCK; the work grows with the square of their
+    number.
+    """
+    spark = classes.sparkSession
+    ranked = links.groupBy("a").agg(F.sort_array(F.collect_list("cosine"), asc=False).alias("c"))  # a few links a class
+    # a little below the k-th, whose cosine another product of the same numbers may round otherwise
+    bound = ranked.select(F.col("a").alias("id"), (F.get("c", F.lit(k - 1)) - 1e-5).alias("least"))
+    asked = store(classes.select("id", "v").join(bound, "id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0))).where(F.col("least") < NEAR))
+    blocks = math.ceil(asked.count() / FAR_BLOCK)
+    found = spark.createDataFrame([], "a bigint, b bigint, cosine double")
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)) == i).toArrow().combine_chunks()
+        if not part.num_rows:
+            continue
+        q = np.asarray(part["v"].combine_chunks().flatten(), np.float32).reshape(-1, width)
+        shared = spark.sparkContext.broadcast((part["id"].to_numpy(), q, part["least"].to_numpy().astype(np.float32)))
+        found = found.unionByName(store(spread(classes.select("id", "v")).mapInArrow(_scanner(shared, k, width), "a bigint, b bigint, cosine double")))
+        shared.unpersist()
+    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+
+
+def most_similar(vectors: DataFrame, id_column: str, vector_column: str, width: int = 64, k: int = 5, floor: float = -1.0, far: bool = True) -> DataFrame:
     """(id, neighbour, place, cosine): the k most similar other vectors of every usable vector.
 
+    With a floor below NEAR, vectors that the index leaves with less than k
+    neighbours of NEAR are compared with all others, unless `far` is off.
+
     Usable are vectors of `width` without nulls that aren't all zero; their
     length doesn't matter. Equal cosines go by the smaller id. Neighbours below
     `floor` are left out (the better ones keep their places). A row that comes
@@ -172,15 +229,20 @@ def most_similar(vectors: DataFrame, id_column: str, vector_column: str, width:
     members = store(rows.select("id", "class").distinct().join(classes.select("class", F.col("id").alias("head")), "class").select("id", "head"))
     order = Window.partitionBy("head").orderBy("id")
     first = members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("head", "id")
-    links = class_neighbours(classes, width, k + 1, floor).unionByName(classes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine")))
+    links = class_neighbours(classes, width, k + 1, floor)
+    if far and floor < NEAR:
+        links = store(links)
+        # the same pair comes from both; a product of its own may round otherwise
+        links = links.unionByName(far_neighbours(classes, links, width, k).where(F.col("cosine") >= floor)).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    links = links.unionByName(classes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine")))
     entry = F.struct((-F.col("cosine")).alias("down"), F.col("id").alias("id"))
     lists = links.join(first, F.col("b") == F.col("head")).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k + 1).alias("list"))
     own = members.join(lists, F.col("head") == F.col("a")).select("id", F.slice(F.filter("list", lambda e: e["id"] != F.col("id")), 1, k).alias("list"))
     return own.select("id", F.posexplode("list").alias("p", "e")).select("id", F.col("e.id").alias("neighbour"), (F.col("p") + 1).cast("bigint").alias("place"), (-F.col("e.down")).alias("cosine"))
 
 
-def measured_recall(vectors: DataFrame, id_column: str, vector_column: str, width: int = 64, k: int = 5) -> DataFrame:
-    """Recall of the index against brute force, per band of cosine: band, wanted, found, recall.
+def measured_recall(vectors: DataFrame, id_column: str, vector_column: str, width: int = 64, k: int = 5, far: bool = False) -> DataFrame:
+    """Recall of the index (with `far` of the whole operator) against brute force, per band of cosine: band, wanted, found, recall.
 
     Asked are the rows whose id is divisible by 100, against all rows; wanted
     are each one's k best by brute force, by the index all of most_similar().
@@ -195,6 +257,6 @@ def measured_recall(vectors: DataFrame, id_column: str, vector_column: str, widt
     true = batch_topk(usable, asked, k + 1, "id", "v").where("key <> query_id").select(F.col("query_id").alias("id"), F.col("key").alias("neighbour"), "similarity")
     best = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 6)), "neighbour")
     true = true.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-    found = most_similar(vectors, id_column, vector_column, width, k).where("id % 100 = 0").select("id", "neighbour", F.lit(1).alias("hit"))
+    found = most_similar(vectors, id_column, vector_column, width, k, far=far).where("id % 100 = 0").select("id", "neighbour", F.lit(1).alias("hit"))
     bands = true.join(found, ["id", "neighbour"], "left").groupBy((F.floor(F.col("similarity") * 20 + 1e-9) / 20).alias("band"))
     return bands.agg(F.count("*").alias("wanted"), F.count("hit").alias("found")).withColumn("recall", F.round(F.col("found") / F.col("wanted"), 4))

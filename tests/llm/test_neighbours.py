@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from intentlake.llm import neighbours
+from intentlake.llm import neighbours, queries
 from intentlake.llm.neighbours import best_in_block, footrule, most_similar, nearest_pivots
 
 SCHEMA = "k bigint, e array<float>, id string, v string, class int, place int"
@@ -91,3 +91,15 @@ def test_pivots_come_nearest_first():
     assert (nearest_pivots(x, p, 4) == np.argsort(-s, axis=1)[:, :4]).all()
     side = {"id": np.arange(20), "v": x, "perm": nearest_pivots(x, p, 4).astype(np.uint16)}
     assert best_in_block({**side, "id": side["id"][:0]}, side, False, 3, -1) == []
+
+
+def test_far_neighbours_are_found_too(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(neighbours, "FAR_BLOCK", 150)
+    x = np.random.default_rng(8).normal(size=(500, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/chunk_vectors.parquet")
+    found = {}
+    for r in queries.p4_neighbours(spark, str(tmp_path)).collect():
+        found.setdefault(r.vec_id, set()).add(r.neighbour)
+    truth = brute(list(range(len(x))), x)
+    assert all(found[i] == set(v) for i, v in truth.items())
