@@ -36,8 +36,10 @@ GENERATED_NOTE = re.compile(
 )
 VENDOR_NOTE = re.compile(r"third[- ]party code\b|vendored from\b|(?:this is )?a?\s*bundled copy of\b|imported unmodified\b|.*\bupstream (?:release )?copy\b|.*\(c\) [\w. -]+ contributors\b|.*\bcopied (?:verbatim|unmodified) from\b")
 COMMENT = re.compile(r"\s*(?://+|#+|/\*+!?|\*+|--+|<!--|;+|\"\"\"|''')\s*(.*)")
-#: Lines at either end of a file in which such a note counts; further in, code may be quoting it.
+#: Lines at either end of a file in which such a note counts, besides the comments above all code; further in, code may be quoting it.
 NOTE_LINES = 12
+#: How a comment of several lines begins, and what ends it.
+BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
 
 
 class Kinds(dict):
@@ -59,10 +61,28 @@ class Kinds(dict):
         return kind
 
 
+def leading_comments(filled: list[str]) -> int:
+    """Number of lines, without blank ones, that are comments above all code."""
+    close = ""
+    for i, line in enumerate(filled):
+        text = line.strip()
+        if close:
+            if close in text:
+                close = ""
+            continue
+        if not COMMENT.match(line[:400]):
+            return i
+        mark = next((m for m in BLOCKS if text.startswith(m)), "")
+        if mark and BLOCKS[mark] not in text[len(mark) :]:
+            close = BLOCKS[mark]
+    return len(filled)
+
+
 def note(lines: list[str]) -> tuple[bool, bool]:
-    """Whether the comments at either end say that the text is generated, or a third party's."""
+    """Whether the comments above all code or at either end say that the text is generated, or a third party's."""
     filled = [x for x in lines if x and not x.isspace()]
-    ends = filled if len(filled) <= 2 * NOTE_LINES else filled[:NOTE_LINES] + filled[-NOTE_LINES:]
+    top = max(NOTE_LINES, leading_comments(filled))
+    ends = filled if len(filled) <= top + NOTE_LINES else filled[:top] + filled[-NOTE_LINES:]
     generated = vendored = False
     for line in ends:
         m = COMMENT.match(line[:400])
@@ -153,6 +173,8 @@ def file_features(files: DataFrame) -> DataFrame:
     return store(spread(rows).mapInArrow(_measure, DDL))
 
 
+#: Size of the grammar over the text's, and share of tokens under rules, from which rules alone tell that a program wrote it.
+MOULDED, ALL_RULES = 0.1, 0.998
 #: Share of a file's tokens in phrases of marked third-party files from which it counts as another copy.
 COPY_SHARE = 0.7
 
@@ -163,7 +185,8 @@ def machine_made(files: DataFrame) -> DataFrame:
     files: file_id, repo, file_path, source. A null or blank source gives no
     row, a null path has no marks, a file that comes again counts once.
 
-    generated: a note at either end or the name says so. minified: hardly any
+    generated: a note or the name says so, or all of the text is made by a few
+    rules (reuse of lesser degree is found in code by hand too). minified: hardly any
     blanks, short names, and a grammar far smaller than the text (one that
     reuses its rules), or a bundler's name and hardly any blanks. data: mostly
     numbers, or near-incompressible long literals, or rows that one rule makes.
@@ -180,12 +203,13 @@ def machine_made(files: DataFrame) -> DataFrame:
     settings = F.col("ext").isin("json", "toml", "md")
     dense = (F.col("blanks") < 0.1) & (F.col("tokens") >= 40)
     minified = ~settings & dense & (F.col("numbers") < 0.2) & ((F.col("short_names") > 0.35) & (F.col("compression") < 0.45) | F.col("minified_mark"))
+    moulded = ~settings & (F.col("tokens") >= 200) & (F.col("reuse") > ALL_RULES) & (F.col("compression") < MOULDED)
     blob = (F.col("long_literals") > 0.25) & (F.col("literal_compression") > 0.5)
     tables = ~settings & ((F.col("numbers") > 0.18) & (F.col("literals") > 0.3) & (F.col("compression") < 0.35) | (F.col("literals") > 0.38) & (F.col("compression") < 0.12))
     return joined.select(
         "file_id",
         "repo",
-        F.col("generated_mark").alias("generated"),
+        (F.col("generated_mark") | moulded).alias("generated"),
         minified.alias("minified"),
         (F.col("vendored_mark") | (F.col("shared") >= COPY_SHARE)).alias("vendored"),
         ((blob & (F.col("ext") != "md")) | tables | (F.col("lock_mark") & (F.col("long_literals") > 0.1))).alias("data"),

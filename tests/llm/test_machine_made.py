@@ -104,3 +104,18 @@ def test_equal_stretches_have_equal_phrases():
     shared = set(symbol[who == 0]) & set(symbol[who == 1])
     assert weight[(who == 0) & np.isin(symbol, list(shared))].sum() > 300
     assert np.bincount(who, weights=weight).tolist() == [len(one), len(two)]
+
+
+def test_notes_below_a_long_licence():
+    licence = [f"Line {i} of the licence, which grants and disclaims." for i in range(20)]
+    code = ["int x;"] * 40
+    for block in ([f"// {x}" for x in licence], ["/*", *licence, " */"], ["/*", *[f" * {x}" for x in licence], " */"]):
+        assert note([*block, "", "// Code generated by x. DO NOT EDIT.", *code]) == (True, False)
+        assert note([*block, *code, "// Code generated by x. DO NOT EDIT.", *code]) == (False, False)
+
+
+def test_rules_alone_tell_generated_files(spark):
+    names = [f"{a}{b}" for a in ("Order", "Part", "Region", "Nation", "Event", "Line") for b in ("Key", "Name", "Size", "Date", "Note")]
+    made = "".join(f"int get_{n}(struct row *self, int fallback) {{\n  if (self == NULL) {{\n    return fallback;\n  }}\n  return self->{n};\n}}\n\n" for n in names)
+    files = spark.createDataFrame([(1, "r", "app/access.c", made), (2, "r", "app/a.js", hand_written(30))], "file_id bigint, repo string, file_path string, source string")
+    assert {r.file_id for r in machine_made(files).where("generated").collect()} == {1}
