@@ -102,6 +102,16 @@ SCHEMA = pa.schema(
 DDL = "file_id bigint, repo string, ext string, generated_mark boolean, vendored_mark boolean, minified_mark boolean, lock_mark boolean, " + ", ".join(f"{f} double" for f in FEATURES) + ", phrases array<bigint>, weights array<int>"
 
 
+def per_file(who: np.ndarray, symbol: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each phrase of a file once, with the tokens of all its occurrences."""
+    if not len(who):
+        return who, symbol, weight
+    order = np.lexsort((symbol, who))
+    who, symbol, weight = who[order], symbol[order], weight[order]
+    starts = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (symbol[1:] != symbol[:-1]))))
+    return who[starts], symbol[starts], np.add.reduceat(weight, starts).astype(np.int32)
+
+
 def measure(ids: list, repos: list, paths: list[str], sources: list[str]) -> pa.RecordBatch:
     """Marks, grammar features and phrases of a batch of files."""
     kinds = Kinds()
@@ -146,7 +156,7 @@ def measure(ids: list, repos: list, paths: list[str], sources: list[str]) -> pa.
         hashed = mix(pd.util.hash_array(words, categorize=False).astype(U))[codes]
         who, symbol, weight = phrases(owner, hashed)
         keep = weight >= 8
-        who, symbol, weight = who[keep], symbol[keep], weight[keep]
+        who, symbol, weight = per_file(who[keep], symbol[keep], weight[keep])
     else:
         who, symbol, weight = np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int32)
     offsets = pa.array(np.searchsorted(who, np.arange(len(ids) + 1)).astype(np.int32))
@@ -177,6 +187,8 @@ def file_features(files: DataFrame) -> DataFrame:
 MOULDED, ALL_RULES = 0.1, 0.998
 #: Share of a file's tokens in phrases of marked third-party files from which it counts as another copy.
 COPY_SHARE = 0.7
+#: Repositories in which a phrase of third parties' code occurs where no copy is marked. Code that an owner copies between repositories spreads less.
+MANY_REPOS = 20
 
 
 def machine_made(files: DataFrame) -> DataFrame:
@@ -191,15 +203,22 @@ def machine_made(files: DataFrame) -> DataFrame:
     reuses its rules), or a bundler's name and hardly any blanks. data: mostly
     numbers, or near-incompressible long literals, or rows that one rule makes.
     vendored: folder or note, or most of the text consists of rules that occur
-    in files of third parties so marked, in any repository.
+    in files of third parties so marked, in any repository (column shared), or
+    in MANY_REPOS repositories (column spread; settings and notes are left out).
     """
     rows = file_features(files)
-    marked = rows.where("vendored_mark").select(F.explode("phrases").alias("phrase")).distinct()
-    posted = rows.where("not vendored_mark").select("file_id", F.explode(F.arrays_zip("phrases", "weights")).alias("e")).select("file_id", F.col("e.phrases").alias("phrase"), F.col("e.weights").alias("weight")).distinct()
-    # per file the tokens in phrases of third parties; phrases meet their marks in one equi-join
-    shared = posted.join(marked, "phrase", "left_semi").groupBy("file_id").agg(F.sum("weight").alias("shared_tokens"))
+    # a phrase stands once in each row, with all its tokens; rows of one file with the same phrases are one version of it
+    version = F.xxhash64("phrases", "weights").alias("version")
+    posted = rows.select("file_id", "repo", "tokens", "vendored_mark", version, F.explode(F.arrays_zip("phrases", "weights")).alias("e")).select("file_id", "repo", "tokens", "vendored_mark", "version", F.col("e.phrases").alias("phrase"), F.col("e.weights").alias("weight"))
+    marked = posted.where("vendored_mark").select("phrase", F.lit(1).alias("marked"), F.lit(0).alias("wide"))
+    wide = posted.select("phrase", "repo").distinct().groupBy("phrase").agg(F.count("repo").alias("n")).where(F.col("n") >= MANY_REPOS).select("phrase", F.lit(0).alias("marked"), F.lit(1).alias("wide"))
+    third = marked.unionByName(wide).groupBy("phrase").agg(F.max("marked").alias("marked"), F.max("wide").alias("wide"))
+    # per version of a file the tokens in phrases of third parties; phrases meet theirs in one equi-join
+    met = posted.where("not vendored_mark").select("file_id", "version", "tokens", "phrase", "weight").distinct().join(third, "phrase")
+    share = lambda c: F.sum(F.col("weight") * F.col(c)) / F.greatest("tokens", F.lit(1.0))
+    shared = met.groupBy("file_id", "version", "tokens").agg(share("marked").alias("s"), share("wide").alias("w")).groupBy("file_id").agg(F.max("s").alias("shared"), F.max("w").alias("spread"))
     once = rows.drop("phrases", "weights").groupBy("file_id").agg(F.max(F.struct(*[c for c in rows.columns if c not in ("file_id", "phrases", "weights")])).alias("r")).select("file_id", "r.*")
-    joined = once.join(shared, "file_id", "left").withColumn("shared", F.coalesce(F.col("shared_tokens") / F.greatest("tokens", F.lit(1.0)), F.lit(0.0)))
+    joined = once.join(shared, "file_id", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("shared", "spread")})
     settings = F.col("ext").isin("json", "toml", "md")
     dense = (F.col("blanks") < 0.1) & (F.col("tokens") >= 40)
     minified = ~settings & dense & (F.col("numbers") < 0.2) & ((F.col("short_names") > 0.35) & (F.col("compression") < 0.45) | F.col("minified_mark"))
@@ -211,8 +230,9 @@ def machine_made(files: DataFrame) -> DataFrame:
         "repo",
         (F.col("generated_mark") | moulded).alias("generated"),
         minified.alias("minified"),
-        (F.col("vendored_mark") | (F.col("shared") >= COPY_SHARE)).alias("vendored"),
+        (F.col("vendored_mark") | (F.col("shared") >= COPY_SHARE) | (~settings & (F.col("tokens") >= 40) & (F.col("spread") >= COPY_SHARE))).alias("vendored"),
         ((blob & (F.col("ext") != "md")) | tables | (F.col("lock_mark") & (F.col("long_literals") > 0.1))).alias("data"),
         *FEATURES,
         "shared",
+        "spread",
     )

@@ -119,3 +119,18 @@ def test_rules_alone_tell_generated_files(spark):
     made = "".join(f"int get_{n}(struct row *self, int fallback) {{\n  if (self == NULL) {{\n    return fallback;\n  }}\n  return self->{n};\n}}\n\n" for n in names)
     files = spark.createDataFrame([(1, "r", "app/access.c", made), (2, "r", "app/a.js", hand_written(30))], "file_id bigint, repo string, file_path string, source string")
     assert {r.file_id for r in machine_made(files).where("generated").collect()} == {1}
+
+
+def test_code_of_many_repositories_is_vendored(spark):
+    rows = [(i, f"r{i}", f"lib{i}/x.js", hand_written(10, 77)) for i in range(30)] + [(100 + i, f"r{i}", f"app{i}/y.js", hand_written(10, 78)) for i in range(4)]
+    rows += [(200 + i, "r0", f"app{i}/z.js", hand_written(10, 79)) for i in range(40)]
+    got = machine_made(spark.createDataFrame(rows, "file_id bigint, repo string, file_path string, source string")).collect()
+    assert {r.file_id for r in got if r.vendored} == set(range(30))
+
+
+def test_repeated_phrases_count_each_time(spark):
+    line = "total = first * second + third / fourth - offset(index, limit, width);\n"
+    text = "".join(line + hand_written(2, i) + line * 20 for i in range(2))
+    files = spark.createDataFrame([(1, "a", "vendor/x/m.c", text), (2, "b", "app/m.c", text), (2, "b", "app/m.c", text), (3, "b", "app/n.c", hand_written(9, 40))], "file_id bigint, repo string, file_path string, source string")
+    got = {r.file_id: r for r in machine_made(files).collect()}
+    assert {i for i, r in got.items() if r.vendored} == {1, 2} and 0.9 < got[2].shared <= 1
