@@ -3,7 +3,7 @@
 A text is lexed to a string with one character per token, its kind: two
 statements with the same kinds are parsed alike, whatever their names and
 values. Parsers work on that string, and remember the kinds of statements that
-they have accepted as a whole, so that each shape is descended into once.
+a rule has accepted as a whole, so that it descends into each shape once.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ class Parser:
     simple = re.compile(r"[^;{}]*;")
 
     def __init__(self) -> None:
-        self.known: set[str] = set()
+        self.known: set = set()
 
     def start(self, kinds: str) -> None:
         self.k = kinds + END * 4
@@ -201,7 +201,9 @@ class Parser:
                 self.fail("the text ends inside a block")
             at = self.i
             quick = self.simple.match(self.k, at)
-            if quick and quick[0] in self.known:
+            # what stands in a function need not be valid in a class or file
+            shape = (rule.__name__, quick[0]) if quick else None
+            if shape in self.known:
                 self.i = quick.end()
                 continue
             issues = len(self.issues)
@@ -213,7 +215,7 @@ class Parser:
             if quick and self.i == quick.end() and len(self.issues) == issues:
                 if len(self.known) > MEMORY:
                     self.known.clear()
-                self.known.add(quick[0])
+                self.known.add(shape)
 
     def recover(self, e: Failure, began: int) -> None:
         """Panic mode: note the error, skip to behind the next semicolon or before a brace on our level."""

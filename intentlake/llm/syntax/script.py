@@ -53,8 +53,8 @@ class ScriptParser(Parser):
 
     def __init__(self) -> None:
         super().__init__()
-        self.inside: set[str] = set()
-        self.outside: set[str] = set()
+        self.inside: set = set()
+        self.outside: set = set()
 
     def newline(self) -> bool:
         return self.i in self.after_line

@@ -129,3 +129,21 @@ def test_operator(spark):
     assert set(PARSERS) == {"py", "js", "ts", "go", "rs", "java", "c", "rb", "json", "toml"}
     paths = spark.createDataFrame([("a/b.JS",), (".py",), ("x.tar.gz",), ("a.b/c",), ("w\\z.C",)], "p string")
     assert [r.e for r in paths.select(extension(F.col("p")).alias("e")).collect()] == ["js", "", "gz", "", "c"]
+
+
+@pytest.mark.parametrize(
+    "language, first, second",
+    [
+        ("go", "package a\nfunc f() {\n\tg(x)\n\tx := g(y)\n}\n", "package a\ng(x)\n"),
+        ("go", "package a\nfunc f() {\n\tx := g(y)\n}\n", "package a\nx := g(y)\n"),
+        ("rust", "fn f() { let a = b; }\n", "let a = b;\n"),
+        ("java", "class A { void g() { f(x); } }\n", "class A { f(x); }\n"),
+        ("java", "class A { abstract T f(T x); }\n", "class A { void g() { T f(T x); } }\n"),
+        ("javascript", "import a from 'b';\n", "{ import a from 'b'; }\n"),
+        ("c", "int f(void) { g(); return 1; }\n", "return 1;\n"),
+    ],
+)
+def test_verdicts_do_not_depend_on_what_was_read_before(language, first, second):
+    reader = Reader()
+    assert reader.issues(first, language)[0] == []
+    assert reader.issues(second, language)[0] and reader.issues(second, language)[0] == Reader().issues(second, language)[0]
