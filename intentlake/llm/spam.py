@@ -102,31 +102,40 @@ def features(text: str, declared: str | None) -> tuple[str, list[float]]:
     ]
 
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("x", pa.list_(pa.float64()))])
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("x", pa.list_(pa.float64())), ("text_key", pa.int64())])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(t, d) for t, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], schema=SCHEMA)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.float64())), batch.column(3)], schema=SCHEMA)
 
 
 def text_features(documents: DataFrame) -> DataFrame:
-    """doc_id, lang (as recognised), x (the features in the order of FEATURES); null and blank texts are left out."""
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where(F.col("text").rlike(r"(?U)\S"))
-    return spread(rows).mapInArrow(_features, "doc_id bigint, lang string, x array<double>")
+    """doc_id, lang (as recognised), x (the features in the order of FEATURES), text_key (equal for equal texts); null and blank texts are left out."""
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("text_key")).where(F.col("text").rlike(r"(?U)\S"))
+    return spread(rows).mapInArrow(_features, "doc_id bigint, lang string, x array<double>, text_key bigint")
+
+
+#: Texts by which a language's own shape is known; with less it has the shape of all languages together.
+LEAST_CORE = 30
 
 
 def robust_shape(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Centre and inverse scatter of each language, robust against the outliers looked for.
 
-    First medians and median absolute deviations, then mean and covariance of
-    the rows that lie within a fixed distance of the medians in every feature
-    (a one-step reweighting). Both are aggregates over all rows; the driver
-    gets a few numbers for each of the languages.
+    Spam has more than half of its text outside of sentences, so only the other
+    texts are fitted, each distinct one once: neither spam nor copies of a page
+    can move the centre, whatever their share. First medians and median
+    absolute deviations, then mean and covariance of the texts that lie within
+    a fixed distance of the medians in every feature (a one-step reweighting).
+    Both are aggregates; the driver gets a few numbers for each of the
+    languages. A language with few or no such texts borrows the shape of all;
+    where no text at all can be fitted there are no shapes.
     """
     d = len(FEATURES)
     at = lambda c, i: F.col(c)[i]
+    rows = cut(rows.where(F.col("x")[0] <= 0.5).groupBy("lang", "text_key").agg(F.any_value("x").alias("x")))
     middle = rows.groupBy("lang").agg(*[F.percentile_approx(at("x", i), 0.5, 10_000).alias(f"m{i}") for i in range(d)])
     centred = rows.join(F.broadcast(middle), "lang")  # one row per language, of which there are four
     scale = centred.groupBy("lang").agg(*[F.percentile_approx(F.abs(at("x", i) - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i in range(d)])
@@ -136,12 +145,19 @@ def robust_shape(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         near &= F.abs(at("x", i) - F.col(f"m{i}")) <= 3.5 * widths[i]
     core = centred.join(F.broadcast(scale), "lang").where(near)
     sums = [F.sum(at("x", i)).alias(f"t{i}") for i in range(d)] + [F.sum(at("x", i) * at("x", j)).alias(f"t{i}_{j}") for i in range(d) for j in range(i, d)]
-    shapes = {}
+    fitted = {}
     for r in core.groupBy("lang").agg(F.count("*").alias("n"), *sums).collect():
-        mean = np.array([r[f"t{i}"] for i in range(d)]) / r.n
-        second = np.array([[r[f"t{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) / r.n
-        cov = second - np.outer(mean, mean) + np.eye(d) * 1e-4
-        shapes[r.lang] = mean, np.linalg.inv(cov)
+        fitted[r.lang] = r.n, np.array([r[f"t{i}"] for i in range(d)]), np.array([[r[f"t{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+    if not fitted:
+        return {}
+    together = tuple(sum(parts) for parts in zip(*fitted.values(), strict=True))
+    shapes = {}
+    for lang in LANGUAGE_WORDS:
+        own = fitted.get(lang)
+        n, first, second = own if own and own[0] >= LEAST_CORE else together
+        mean = first / n
+        cov = second / n - np.outer(mean, mean) + np.eye(d) * 1e-4
+        shapes[lang] = mean, np.linalg.inv(cov)
     return shapes
 
 
@@ -154,8 +170,9 @@ def spam_scores(documents: DataFrame) -> DataFrame:
 
     direction: the share of the distance that points where spam lies (features
     raised or lowered as FEATURES says). An outlier in that direction is spam
-    if an exact check agrees that more than half of it is no sentence. A
-    document that comes again has a row each time; a null doc_id is kept.
+    if an exact check agrees that more than half of it is no sentence; where no
+    text could be fitted, that check alone decides. A document that comes again
+    has a row each time; a null doc_id is kept.
     """
     rows = cut(text_features(documents))
     shapes = robust_shape(rows)
@@ -178,4 +195,5 @@ def spam_scores(documents: DataFrame) -> DataFrame:
     scored = rows.join(F.broadcast(fitted), "lang", "left").select(  # one row per language
         "doc_id", "lang", F.coalesce(distance, F.lit(0.0)).alias("distance"), F.coalesce(toward / (toward + away + 1e-12), F.lit(0.0)).alias("direction"), F.col("x")[0].alias("loose")
     )
-    return scored.withColumn("is_spam", (F.col("distance") > CUTOFF) & (F.col("direction") > 0.5) & (F.col("loose") > 0.5))
+    far = (F.col("distance") > CUTOFF) & (F.col("direction") > 0.5) if shapes else F.lit(True)
+    return scored.withColumn("is_spam", far & (F.col("loose") > 0.5))

@@ -55,3 +55,18 @@ def test_operator(spark):
     assert spam_scores(d.limit(0)).count() == 0
     assert spam_scores(d.where("doc_id = 1000")).count() == 2
     assert text_features(d.where("doc_id is null")).count() == 1
+
+
+def test_spam_that_is_most_of_a_language_is_found(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(160):
+        lang = ("en", "de")[i % 4 == 0]
+        parts = SENTENCES[lang].split(". ")
+        rows.append((i, ". ".join(rng.choice(parts) for _ in range(rng.randrange(3, 9))) + ".", lang))
+    rows += [(1000 + i, "Suche billig kaufen Index " * 40, "de") for i in range(200)]
+    rows += [(2000 + i, " ".join(f"{rng.choice(('outil', 'prix', 'achat'))} discount cher" for _ in range(60)), "fr") for i in range(40)]
+    rows += [(3000, "barato índice comprar " * 50, "es")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in spam_scores(d).where("is_spam").collect()} == {*range(1000, 1200), *range(2000, 2040), 3000}
+    assert {r.doc_id for r in spam_scores(d.where("doc_id >= 1000")).where("is_spam").collect()} == {*range(1000, 1200), *range(2000, 2040), 3000}
