@@ -18,14 +18,14 @@ from intentlake.plans.runtime import spread, store
 ROWS, BANDS = 3, 24
 #: Classes in a bucket from which they are compared by rare shingles and not pair by pair.
 HOT_BUCKET = 1000
-#: Copies of one text up to which links are expanded to all of them; larger groups are linked through their first member.
+#: Byte-equal copies of one text up to which links are expanded to all of them; larger groups are linked through their first member.
 MOST_COPIES = 1000
 
-SIGNED = pa.schema([("id", pa.int64()), ("class", pa.binary()), ("n", pa.int32()), ("shingles", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64()))])
-SIGNED_DDL = "id bigint, class binary, n int, shingles array<int>, bands array<bigint>"
+SIGNED = pa.schema([("id", pa.int64()), ("class", pa.binary()), ("n", pa.int32()), ("shingles", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64())), ("text", pa.binary())])
+SIGNED_DDL = "id bigint, class binary, n int, shingles array<int>, bands array<bigint>, text binary"
 
 
-def sign_batch(ids: pa.Array, texts: list[str], width: int, least: int) -> pa.RecordBatch:
+def sign_batch(ids: pa.Array, texts: list[str], hashes: pa.Array, width: int, least: int) -> pa.RecordBatch:
     owner, elements = shingles(texts, width, least)
     count = len(texts)
     offsets = np.searchsorted(owner, np.arange(count + 1)).astype(np.int32)
@@ -45,6 +45,7 @@ def sign_batch(ids: pa.Array, texts: list[str], width: int, least: int) -> pa.Re
             pa.array(sizes),
             pa.ListArray.from_arrays(pa.array(starts), pa.array(short)),
             pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel())),
+            hashes.take(pa.array(has)),
         ],
         schema=SIGNED,
     )
@@ -55,20 +56,22 @@ def _signer(width: int, least: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                yield sign_batch(part.column(0), part.column(1).to_pylist(), width, least)
+                yield sign_batch(part.column(0), part.column(1).to_pylist(), part.column(2), width, least)
 
     return run
 
 
 def signed(records: DataFrame, id_column: str, text_column: str, width: int, least: int) -> DataFrame:
-    """id, class, n, shingles, bands of every record with at least `least` tokens, written once.
+    """id, class, n, shingles, bands, text of every record with at least `least` tokens, written once.
 
     class is a 128-bit fingerprint of the set of shingles: records of one class
     have similarity 1 and are compared with others only once. shingles are the
     set's hashes, cut to 32 bits for verification: of two sets of a hundred,
-    one pair of different shingles in 400,000 sets falls together.
+    one pair of different shingles in 400,000 sets falls together. text is a
+    128-bit hash of the bytes, which tells the texts of a class apart.
     """
     rows = records.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).where("id is not null and text is not null")
+    rows = rows.withColumn("hash", F.unhex(F.md5(F.col("text").cast("binary"))))
     return store(spread(rows).mapInArrow(_signer(width, least), SIGNED_DDL))
 
 
@@ -126,23 +129,22 @@ def similar_pairs(records: DataFrame, id_column: str, text_column: str, threshol
     """(a, b), a < b: all pairs of records with similarity at or above `threshold`.
 
     The links between classes are expanded to their members, as the wanted
-    result names records. A group of more than `most_copies` records with the
-    same shingles isn't: each of its records is linked with the group's first,
-    which carries the group's links with others, so that no link between
-    different texts is lost and the result stays in proportion.
-    near_duplicate_groups() has this form throughout. Null ids and texts and
+    result names records. Only a group of more than `most_copies` byte-equal
+    copies isn't: each is linked with the group's first, which carries the
+    group's links with other texts, be they of the same shingles or not. So no
+    link between different texts is lost, however many share their shingles.
+    near_duplicate_groups() links classes through their first throughout. Null ids and texts and
     short texts take no part; a record that comes again counts once.
     """
     rows = signed(records, id_column, text_column, width, least)
-    members = rows.select("id", "class").distinct()
-    heads = members.groupBy("class").agg(F.min("id").alias("head"), (F.count("*") > most_copies).alias("large"))
-    members = store(members.join(heads, "class"))
+    members = rows.groupBy("id", "class").agg(F.min("text").alias("text"))
+    heads = members.groupBy("class", "text").agg(F.min("id").alias("head"), (F.count("*") > most_copies).alias("large"))
+    members = store(members.join(heads, ["class", "text"]).select("id", "class", "head", "large"))
     links = class_pairs(rows, threshold, hot_bucket)
     named = members.where("not large or id = head")
     left, right = named.select(F.col("id").alias("x"), F.col("class").alias("a")), named.select(F.col("id").alias("y"), F.col("class").alias("b"))
     across = links.select("a", "b").join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    small = members.where("not large")
-    within = small.select(F.col("id").alias("x"), "class").join(small.select(F.col("id").alias("y"), "class"), "class").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    within = named.select(F.col("id").alias("x"), "class").join(named.select(F.col("id").alias("y"), "class"), "class").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     star = members.where("large and id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     return across.unionByName(within).unionByName(star)
 

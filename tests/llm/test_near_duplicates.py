@@ -112,3 +112,14 @@ def test_signature_agreement_estimates_similarity():
 def test_shingles_of_repeated_and_short_texts():
     owner, elements = shingles(["a " * 50, "a b", "", "Ä x " * 30], 3, 40)
     assert owner.tolist() == [0] and len(elements) == 1
+
+
+def test_large_groups_of_different_texts_are_paired_in_full(spark):
+    words = [f"a{i}" for i in range(60)]
+    other = " ".join(words[:55]) + " z z z z z"
+    # variants of one set of shingles, of which one has many copies
+    rows = [(i, (" " * i + "- ").join(words)) for i in range(1, 21)] + [(100 + i, ", ".join(words)) for i in range(15)] + [(200, other)]
+    got = [(r.a, r.b) for r in similar_pairs(frame(spark, rows), "k", "t", most_copies=10).collect()]
+    named = [*range(1, 21), 100, 200]
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, b) for a in named for b in named if a < b} | {(100, 100 + i) for i in range(1, 15)}
