@@ -128,10 +128,11 @@ class StaticModelEncoder:
     """Mean of a static model's token vectors, normalised; the table is sent to each executor once.
 
     Its size is that of the model, checked against `most_bytes`. Unknown tokens
-    are left out; a text without tokens, or null, is a zero vector.
+    are left out; a text without tokens, or null, is a zero vector. All tokens
+    of a text are pooled unless `most_tokens` names a limit.
     """
 
-    def __init__(self, name: str, most_tokens: int = 512, most_bytes: int = 1 << 30) -> None:
+    def __init__(self, name: str, most_tokens: int | None = None, most_bytes: int = 1 << 30) -> None:
         self.folder = resolve_model(name)
         if os.path.getsize(os.path.join(self.folder, "model.safetensors")) > most_bytes:
             raise ValueError("the model's table is too large to send to the executors")
@@ -148,8 +149,9 @@ class StaticModelEncoder:
         return self.table.shape[1]
 
     @staticmethod
-    def pool(tokenizer, table: np.ndarray, texts: list[str], most: int) -> np.ndarray:
+    def pool(tokenizer, table: np.ndarray, texts: list[str], most: int | None) -> np.ndarray:
         out = np.zeros((len(texts), table.shape[1]), np.float32)
+        tokenizer.no_truncation()  # a model's own file may set a limit
         unknown = tokenizer.token_to_id("[UNK]")
         for i, e in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
             ids = [t for t in e.ids[:most] if t != unknown]

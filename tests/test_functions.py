@@ -136,3 +136,11 @@ def test_static_model_encoder(spark, tmp_path):
     assert encoder.encode_one("read index") == pytest.approx(rows[0]) and encoder.dim == 4
     with pytest.raises(ValueError, match="too large"):
         encoders.StaticModelEncoder(str(tmp_path / "m"), most_bytes=1)
+
+
+def test_static_model_pools_the_whole_text(tmp_path):
+    table = model(str(tmp_path / "m"))
+    text = "read " * 600 + "index " * 600
+    mean = (table[1] + table[2]) / 2
+    assert encoders.StaticModelEncoder(str(tmp_path / "m")).encode_one(text) == pytest.approx(list(mean / np.linalg.norm(mean)), rel=1e-5)
+    assert encoders.StaticModelEncoder(str(tmp_path / "m"), most_tokens=512).encode_one(text) == pytest.approx(list(table[1] / np.linalg.norm(table[1])), rel=1e-5)
