@@ -91,7 +91,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam.spam_scores(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.round("distance", 3).alias("distance"), F.round("direction", 6).alias("direction"), F.round("loose", 6).alias("loose"), "is_spam")
+    return spam.spam_scores(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.round("distance", 3).alias("distance"), F.round("direction", 6).alias("direction"), F.round("pushed", 6).alias("pushed"), "is_spam")
 
 
 def queries() -> dict:
