@@ -23,18 +23,18 @@ KEYWORDS = frozenset("if else elif for while do switch case return break const l
 LONG_LITERAL = 60
 
 # Folders that hold third-party code, and names that generators and bundlers give.
-VENDOR_PATH = re.compile(r"(?:^|/)(?:_?vendor|vendored|third[_-]?party|3rd[_-]?party|node_modules|bower_components|jspm_packages|site-packages|external/deps|godeps/_workspace|pods|carthage)/")
+VENDOR_PATH = re.compile(r"(?:^|/)(?:_?vendor|vendored|third[_-]?party|3rd[_-]?party|node_modules|bower_components|jspm_packages|site-packages|(?:external|contrib)/(?:deps|imported)|godeps/_workspace|pods|carthage)/")
 GENERATED_PATH = re.compile(r"(?:^|/)(?:__)?generated(?:__)?/|(?:_pb2?|\.pb|\.pb-c|_autogen|[._]generated|\.g|\.gen|\.designer|_pb2_grpc|_grpc_pb)\.[a-z]+$|\.pb\.[a-z]+$")
 MINIFIED_PATH = re.compile(r"(?:[.-]min|[.-]bundle|\.packed|\.prod|\.chunk(?:\.[0-9a-f]+)?)\.[cm]?[jt]s$")
 LOCK_PATH = re.compile(r"(?:[._-]lock|[._-]resolved|[._-]lockfile)\.json$")
 
 # What tools write above or below the code that they make or copy, without the comment's marks.
 GENERATED_NOTE = re.compile(
-    r"@generated\b|<auto-?generated|auto-?generated (?:file|code|from|by)\b|(?:this|the) (?:file|code|source|module) (?:is|was|has been) (?:automatically |auto-?|machine[- ])?generated\b|code generated by\b|automatically generated (?:by|from)\b"
+    r"@generated\b|<auto-?generated|auto-?generated\b(?: file\b| code\b|.{0,40}\b(?:from|by)\b)|this (?:file|code|source|module) (?:is|was|has been) (?:automatically |auto-?|machine[- ])?generated\b|code generated by\b|automatically generated (?:by|from)\b"
     r"|generated (?:by|from|with)\b.*\b(?:do not|don't) (?:edit|modify|change|touch)\b|output of\b.*\bregenerated\b|any manual changes? (?:is|are|will be) overwritten\b|(?:[\w.-]+: )?machine[- ](?:written|generated|made)\b"
     r"|.*\b(?:maschinell|automatisch)\b.*\b(?:erzeugt|generiert|erstellt)\b|.*\b(?:produit|généré|créé)e? automatiquement\b|.*\b(?:generad|producid|cread)[oa] (?:automáticamente|de forma automática)\b"
 )
-VENDOR_NOTE = re.compile(r"third[- ]party code\b|vendored from\b|(?:this is )?a?\s*bundled copy of\b|imported unmodified\b|.*\bupstream (?:release )?copy\b|.*\(c\) [\w. -]+ contributors\b|.*\bcopied (?:verbatim|unmodified) from\b")
+VENDOR_NOTE = re.compile(r"third[- ]party code\b|vendored from\b|(?:this is )?a?\s*bundled copy of\b|imported unmodified\b|.*\bupstream (?:release )?copy\b|.*\bcopied (?:verbatim|unmodified) from\b")
 COMMENT = re.compile(r"\s*(?://+|#+|/\*+!?|\*+|--+|<!--|;+|\"\"\"|''')\s*(.*)")
 #: Lines at either end of a file in which such a note counts, besides the comments above all code; further in, code may be quoting it.
 NOTE_LINES = 12
@@ -184,11 +184,11 @@ def file_features(files: DataFrame) -> DataFrame:
 
 
 #: Size of the grammar over the text's, and share of tokens under rules, from which rules alone tell that a program wrote it.
-MOULDED, ALL_RULES = 0.1, 0.998
+MOULDED, ALL_RULES = 0.12, 0.995
 #: Share of a file's tokens in phrases of marked third-party files from which it counts as another copy.
 COPY_SHARE = 0.7
 #: Repositories in which a phrase of third parties' code occurs where no copy is marked. Code that an owner copies between repositories spreads less.
-MANY_REPOS = 20
+MANY_REPOS = 12
 
 
 def machine_made(files: DataFrame) -> DataFrame:

@@ -64,6 +64,9 @@ def test_notes():
     assert note(['x = "// Code generated by x. DO NOT EDIT."']) == (False, False)
     assert note(["# LibX v1 | (c) LibX contributors | upstream release copy"]) == (False, True)
     assert note(["// replaces the old auto-generated parser with a hand-written one"]) == (False, False)
+    assert note(["// AUTO-GENERATED 10/04/2025 from schema listener-module", "// Regenerate with: make listener"]) == (True, False)
+    assert note(["# Copyright (c) 2024 Widget contributors", "# The file is generated by the exporter when a user asks."]) == (False, False)
+    assert note(["// the auto-generated ids are read from the store"]) == (False, False)
     assert note([]) == (False, False)
 
 
@@ -117,15 +120,19 @@ def test_notes_below_a_long_licence():
 def test_rules_alone_tell_generated_files(spark):
     names = [f"{a}{b}" for a in ("Order", "Part", "Region", "Nation", "Event", "Line") for b in ("Key", "Name", "Size", "Date", "Note")]
     made = "".join(f"int get_{n}(struct row *self, int fallback) {{\n  if (self == NULL) {{\n    return fallback;\n  }}\n  return self->{n};\n}}\n\n" for n in names)
-    files = spark.createDataFrame([(1, "r", "app/access.c", made), (2, "r", "app/a.js", hand_written(30))], "file_id bigint, repo string, file_path string, source string")
-    assert {r.file_id for r in machine_made(files).where("generated").collect()} == {1}
+    classes = "".join(f"public class {n}Holder {{\n  private final String value;\n  public {n}Holder(String value) {{ this.value = value; }}\n  public String get{n}() {{ return value; }}\n}}\n" for n in names * 2)
+    rows = [(1, "r", "app/access.c", made), (2, "r", "app/a.js", hand_written(30)), (3, "r", "src/Holders.java", classes)]
+    rows += [(4, "r", "contrib/imported/lib-x/a.js", hand_written(5, 50)), (5, "r", "contrib/a.js", hand_written(5, 51))]
+    files = spark.createDataFrame(rows, "file_id bigint, repo string, file_path string, source string")
+    assert {r.file_id for r in machine_made(files).where("generated").collect()} == {1, 3}
+    assert {r.file_id for r in machine_made(files).where("vendored").collect()} == {4}
 
 
 def test_code_of_many_repositories_is_vendored(spark):
-    rows = [(i, f"r{i}", f"lib{i}/x.js", hand_written(10, 77)) for i in range(30)] + [(100 + i, f"r{i}", f"app{i}/y.js", hand_written(10, 78)) for i in range(4)]
+    rows = [(i, f"r{i}", f"lib{i}/x.js", hand_written(10, 77)) for i in range(12)] + [(100 + i, f"r{i}", f"app{i}/y.js", hand_written(10, 78)) for i in range(4)]
     rows += [(200 + i, "r0", f"app{i}/z.js", hand_written(10, 79)) for i in range(40)]
     got = machine_made(spark.createDataFrame(rows, "file_id bigint, repo string, file_path string, source string")).collect()
-    assert {r.file_id for r in got if r.vendored} == set(range(30))
+    assert {r.file_id for r in got if r.vendored} == set(range(12))
 
 
 def test_repeated_phrases_count_each_time(spark):
