@@ -7,6 +7,7 @@ are comments, and which have a body. The text need not be valid.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 #: Languages whose structure is read; all others are split as plain text.
@@ -14,6 +15,8 @@ BRACES = frozenset({"rust", "javascript", "typescript", "go", "java", "c", "cpp"
 STRUCTURED = BRACES | {"python", "ruby"}
 #: Languages in which a line end may close a statement.
 LINE_ENDED = frozenset({"javascript", "typescript", "go", "swift"})
+#: Languages in which a brace after an assignment opens a value, not a body.
+VALUES = frozenset({"javascript", "typescript", "c", "cpp", "java", "php", "rust"})
 
 
 @dataclass(slots=True)
@@ -29,12 +32,12 @@ class Node:
 STRING = r"\"(?:[^\"\\\n]|\\(?:.|\n))*\"?|'(?:[^'\\\n]|\\.)*'?"
 LEXERS = {
     "python": re.compile(r"(?P<string>(?:\"\"\"(?:[^\\]|\\.)*?(?:\"\"\"|\Z)|'''(?:[^\\]|\\.)*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\(?:.|\n))*\"?|'(?:[^'\\\n]|\\(?:.|\n))*'?))|(?P<comment>#[^\n]*)|(?P<mark>[()\[\]{}\n])", re.DOTALL),
-    "ruby": re.compile(rf"(?P<string>{STRING})|(?P<comment>#[^\n]*|^=begin\b.*?^=end[^\n]*)|(?P<mark>\n)", re.DOTALL | re.MULTILINE),
-    "rust": re.compile(r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>b?r(?P<h>#*)\".*?\"(?P=h)|\"(?:[^\"\\]|\\.)*\"?|'(?:[^'\\\n]|\\[^\n]+?)')|(?P<mark>[(){}\[\];\n])", re.DOTALL),
+    "ruby": re.compile(rf"(?P<string>{STRING})|(?P<comment>#[^\n]*|^=begin\b.*?(?:^=end[^\n]*|\Z))|(?P<mark>\n)", re.DOTALL | re.MULTILINE),
+    "rust": re.compile(r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>b?r(?P<h>#*)\".*?(?:\"(?P=h)|\Z)|\"(?:[^\"\\]|\\.)*\"?|'(?:[^'\\\n]|\\[^\n]+?)')|(?P<mark>[(){}\[\];\n])", re.DOTALL),
     "go": re.compile(rf"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>`[^`]*`?|{STRING})|(?P<mark>[(){{}}\[\];\n])", re.DOTALL),
     "script": re.compile(rf"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>`(?:[^`\\]|\\.)*`?|{STRING})|(?P<mark>[(){{}}\[\];\n])", re.DOTALL),
     "php": re.compile(rf"(?P<comment>//[^\n]*|\#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>{STRING})|(?P<mark>[(){{}}\[\];\n])", re.DOTALL),
-    "braces": re.compile(rf"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\"\"\".*?\"\"\"|{STRING})|(?P<mark>[(){{}}\[\];\n]|^[ \t]*\#[^\n]*)", re.DOTALL | re.MULTILINE),
+    "braces": re.compile(rf"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\"\"\".*?(?:\"\"\"|\Z)|{STRING})|(?P<mark>[(){{}}\[\];\n]|^[ \t]*\#[^\n]*)", re.DOTALL | re.MULTILINE),
 }
 
 
@@ -62,98 +65,104 @@ def outline(source: str, language: str) -> list[Node]:
     return _Braces(source, language).items()
 
 
+@dataclass(slots=True)
+class _Block:
+    """A block that is being read: where its inside and its brace begin, its items, and the item at hand."""
+
+    position: int
+    begin: int = 0
+    nodes: list[Node] = field(default_factory=list)
+    start: int | None = None
+    bodies: list[Node] = field(default_factory=list)
+    depth: int = 0
+
+
 class _Braces:
     GOES_ON = re.compile(r"\s*(?:else\b|catch\b|finally\b|while\b\s*\(|[,.)\];?=])|[ \t]*(?:[-+*%<>&|:]|/(?![/*]))")
     OPEN_LINE = re.compile(r"(?:[,({\[=+\-*/%&|<>?:.]|=>|->|&&|\|\|)\s*\Z")
+    ASSIGNED = re.compile(r"(?:=|=>|\breturn|\()\s*\Z")
+    INK = re.compile(r"\S")
     CONTINUES = re.compile(r"\s*(?:[.)\]}?:&|+*%=<>,]|/(?![/*])|else\b|catch\b|finally\b|\{)")
 
     def __init__(self, source: str, language: str) -> None:
         self.source, self.language = source, language
         self.tokens = [(m.start(), m.end(), "comment" if m["comment"] else "string" if m["string"] else m["mark"]) for m in lexer(language).finditer(source)]
-        self.at = 0
 
     def items(self) -> list[Node]:
-        found = self._block(0)[0]
-        while self.at < len(self.tokens):  # a brace too many
-            self.at += 1
-            found += self._block(self.tokens[self.at - 1][1])[0]
-        return found
-
-    def _block(self, begin: int) -> tuple[list[Node], int]:
-        """Items up to the closing brace, which isn't taken, and its place."""
-        nodes: list[Node] = []
-        position = begin
-        start = None
-        bodies: list[Node] = []
-        depth = 0
-
-        def text_before(to: int) -> int | None:
-            gap = self.source[position:to]
-            bare = gap.lstrip()
-            return position + len(gap) - len(bare) if bare else None
-
-        def close(end: int) -> None:
-            nonlocal start, bodies
-            if start is not None:
-                end = start + len(self.source[start:end].rstrip())
-                if end > start:
-                    children = []
-                    if bodies:
-                        if self.source[start : bodies[0].start].strip():
-                            children.append(Node(start, start + len(self.source[start : bodies[0].start].rstrip()), "head"))
-                        children += bodies
-                    nodes.append(Node(start, end, "item", children))
-            start, bodies = None, []
-
-        while self.at < len(self.tokens):
-            s, e, kind = self.tokens[self.at]
-            if start is None:
-                start = text_before(s)
-            if kind == "comment" and start is None:
-                nodes.append(Node(s, e, "comment"))
-            elif kind == "comment" or kind == "string":
-                start = s if start is None else start
-            elif kind in "([":
-                start = s if start is None else start
-                depth += 1
-            elif kind in ")]":
-                start = s if start is None else start
-                depth = max(0, depth - 1)
-            elif kind == "{":
-                start = s if start is None else start
-                self.at += 1
-                inner, end = self._block(e)
-                if self.at < len(self.tokens):
-                    end = self.tokens[self.at][1]
-                if not depth:
-                    bodies.append(Node(s, end, "block", inner))
-                position = e = end
-                if not depth and not self.GOES_ON.match(self.source, end) and not self._value(start, s):
-                    close(end)
-            elif kind == "}":
-                close(s)
-                return nodes, s
-            elif kind == ";" and not depth:
-                if start is not None:
-                    close(e)
+        """All top-level items; blocks inside of blocks are held on a stack of our own."""
+        held = [_Block(0)]
+        for s, e, kind in self.tokens:
+            block = held[-1]
+            if block.start is None:
+                block.start = self._text_before(block.position, s)
+            if kind == "comment" and block.start is None:
+                block.nodes.append(Node(s, e, "comment"))
             elif kind.lstrip().startswith("#") and len(kind) > 1:
-                if start is None or not depth:
-                    close(s)
-                    first = s + len(kind) - len(kind.lstrip())
-                    nodes.append(Node(first, e, "item"))
-            elif kind == "\n" and not depth and start is not None and self.language in LINE_ENDED:
-                if not self.OPEN_LINE.search(self.source[max(start, s - 80) : s]) and not self.CONTINUES.match(self.source, e):
-                    close(s)
-            position = e
-            self.at += 1
-        if start is None:
-            start = text_before(len(self.source))
-        close(len(self.source))
-        return nodes, len(self.source)
+                if block.start is None or not block.depth:
+                    self._close(block, s)
+                    block.nodes.append(Node(s + len(kind) - len(kind.lstrip()), e))
+            elif kind == "}":
+                if len(held) > 1:
+                    self._close(block, s)
+                    held.pop()
+                    self._take(held[-1], Node(block.begin, e, "block", block.nodes))
+                    continue
+                self._close(block, s)  # a brace too many
+            elif kind == ";":
+                if not block.depth and block.start is not None:
+                    self._close(block, e)
+            elif kind == "\n":
+                if not block.depth and block.start is not None and self.language in LINE_ENDED:
+                    if not self.OPEN_LINE.search(self.source[max(block.start, s - 80) : s]) and not self.CONTINUES.match(self.source, e):
+                        self._close(block, s)
+            else:
+                block.start = s if block.start is None else block.start
+                if kind in "([":
+                    block.depth += 1
+                elif kind in ")]":
+                    block.depth = max(0, block.depth - 1)
+                elif kind == "{":
+                    held.append(_Block(e, s))
+                    continue
+            block.position = e
+        while True:
+            block, end = held.pop(), len(self.source)
+            if block.start is None:
+                block.start = self._text_before(block.position, end)
+            self._close(block, end)
+            if not held:
+                return block.nodes
+            self._take(held[-1], Node(block.begin, end, "block", block.nodes))
+
+    def _take(self, block: _Block, inner: Node) -> None:
+        """Put a closed block into the item around it, and close that if it doesn't go on."""
+        block.position = inner.end
+        if not block.depth:
+            block.bodies.append(inner)
+            if not self.GOES_ON.match(self.source, inner.end) and not self._value(block.start, inner.start):
+                self._close(block, inner.end)
+
+    def _text_before(self, position: int, to: int) -> int | None:
+        m = self.INK.search(self.source, position, to)
+        return m.start() if m else None
+
+    def _close(self, block: _Block, end: int) -> None:
+        if block.start is not None:
+            start, bodies = block.start, block.bodies
+            end = start + len(self.source[start:end].rstrip())
+            if end > start:
+                children = []
+                if bodies:
+                    head = self.source[start : bodies[0].start].rstrip()
+                    if head:
+                        children.append(Node(start, start + len(head), "head"))
+                    children += bodies
+                block.nodes.append(Node(start, end, "item", children))
+        block.start, block.bodies = None, []
 
     def _value(self, start: int, brace: int) -> bool:
         """Whether the brace opens a value, after which the statement goes on to its semicolon or line end."""
-        return self.language not in ("go",) and bool(re.search(r"(?:=|=>|return|\()\s*\Z", self.source[start:brace])) and self.language in ("javascript", "typescript", "c", "cpp", "java", "php", "rust")
+        return self.language in VALUES and bool(self.ASSIGNED.search(self.source[max(start, brace - 80) : brace]))
 
 
 def _python(source: str) -> list[Node]:
@@ -212,18 +221,19 @@ def _nest(lines: list[tuple[int, int, int, str]], opens) -> list[Node]:
             body = Node(end, end, "block")
             node.children = [Node(start, end, "head"), body]
             stack.append((indent, body.children))
-    for node in root:
-        _stretch(node)
+    _stretch(root)
     return root
 
 
-def _stretch(node: Node) -> int:
-    """A parent reaches to the end of its last child."""
-    for child in node.children:
-        if child.kind == "block" and child.children:
-            child.start = child.children[0].start
-        node.end = max(node.end, _stretch(child))
-    return node.end
+def _stretch(root: list[Node]) -> None:
+    """A parent reaches to the end of its last child; children are done before their parents."""
+    order = list(root)
+    for node in order:  # grows while it is read
+        order.extend(node.children)
+    for node in reversed(order):
+        if node.kind == "block" and node.children:
+            node.start = node.children[0].start
+        node.end = max([node.end, *(child.end for child in node.children)])
 
 
 RUBY_OPEN = re.compile(r"^\s*(?:class|module|def|if|unless|while|until|for|case|begin)\b|\bdo\b\s*(?:\|[^|]*\|)?\s*$|=\s*(?:if|case|begin|unless)\b")
@@ -233,7 +243,12 @@ RUBY_INLINE = re.compile(r"\bend\b[\s.)]*$|^\s*def\s+[^=]*\)\s*=\s|^\s*def\s+\w+
 def _ruby(source: str) -> list[Node]:
     """Statements by lines; what a keyword opens lasts to its end."""
     mask = masked(source, "ruby")
-    comments = {source.count("\n", 0, m.start()) for m in lexer("ruby").finditer(source) if m["comment"] and not mask[source.rfind("\n", 0, m.start()) + 1 : m.start()].strip()}
+    begins = [0, *(m.end() for m in re.finditer("\n", source))]
+    comments = set()
+    for m in lexer("ruby").finditer(source):
+        line = bisect_right(begins, m.start()) - 1 if m["comment"] else -1
+        if line >= 0 and not mask[begins[line] : m.start()].strip():
+            comments.add(line)
     root: list[Node] = []
     stack: list[tuple[Node | None, list[Node]]] = [(None, root)]
     offset = 0
@@ -255,6 +270,5 @@ def _ruby(source: str) -> list[Node]:
             stack.append((node, body.children))
         else:
             into.append(Node(start, end))
-    for node in root:
-        _stretch(node)
+    _stretch(root)
     return root

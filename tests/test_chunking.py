@@ -1,11 +1,13 @@
 """Outlines, packing, plain text splitting, symbols."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from intentlake.functions.outline import STRUCTURED, masked, outline
-from intentlake.functions.packing import Packer, chunk_source, coalesce, split_text
+from intentlake.functions.packing import CODE_LEVELS, Measure, chunk_source, merged, split_text
 from intentlake.functions.symbols import extract_symbols
 
 
@@ -100,19 +102,59 @@ def test_comments_travel_with_what_follows():
     assert holder.content.startswith("// reads the index")
 
 
-def test_coalescing():
-    source = "a" * 100
-    assert coalesce([(0, 5), (5, 40), (40, 80), (80, 82)], source, 50) == [(0, 40), (40, 82)]
-    assert coalesce([(0, 40), (40, 80)], source, 50) == [(0, 40), (40, 80)]
-    text = "// note\n" + "x" * 60
-    assert coalesce([(0, 7), (8, 68)], text, 30) == [(0, 7), (8, 68)]  # over the cap
-    assert coalesce([(0, 7), (8, 68)], text, 50) == [(0, 68)]
+def test_small_spans_are_merged():
+    measure = Measure.of("a" * 100)
+    assert merged([(0, 5), (5, 40), (40, 80), (80, 82)], measure, 50) == [(0, 40), (40, 82)]
+    assert merged([(0, 40), (40, 80)], measure, 50) == [(0, 40), (40, 80)]
+    measure = Measure.of("// note\n" + "x" * 60)
+    assert merged([(0, 7), (8, 68)], measure, 30) == [(0, 7), (8, 68)]  # over the cap
+    assert merged([(0, 7), (8, 68)], measure, 50) == [(0, 68)]
+    assert merged([], measure, 50) == []
 
 
 def test_sizes_are_bytes_along_an_outline():
-    packer = Packer("é" * 10, 10)
-    assert packer.size(0, 10) == 20
-    assert packer.row(5) == 0
+    measure = Measure.of("é" * 10)
+    assert measure.size(0, 10) == 20 and measure.line(5) == 1
+
+
+def test_long_statements_are_cut_at_signs_of_code():
+    text = "call(" + ", ".join(f"argument_{i}" for i in range(60)) + ");"
+    pieces = [text[a:b] for a, b in split_text(text, 100, CODE_LEVELS)]
+    assert all(p.endswith((",", ";")) for p in pieces) and all(len(p) <= 100 for p in pieces)
+
+
+ODD = {
+    "nested braces": ("c", "{" * 50_000 + "}" * 50_000),
+    "nested and open": ("java", "class A {" + "{" * 50_000),
+    "brackets": ("javascript", "f(" * 50_000),
+    "ampersands": ("c", "&" * 100_000 + "\n" + "a & " * 30_000),
+    "impls": ("rust", "impl A {\n" * 30_000),
+    "raw strings": ("rust", 'r#"' * 100_000),
+    "blank lines": ("typescript", "\n" * 300_000),
+    "annotations": ("java", "@a(\n" * 50_000),
+    "typedefs": ("c", "typedef int " * 30_000),
+    "types": ("rust", "type a " * 50_000),
+    "lets": ("swift", "a b c d " * 40_000 + "\n" + "a\n" * 50_000),
+    "braces too many": ("go", "}\n" * 100_000),
+    "calls": ("c", "int f(int a(" * 30_000),
+    "consts": ("javascript", "const a=(" * 40_000),
+    "stars": ("javascript", "function" + " " * 200_000 + "x"),
+    "indents": ("python", "".join(" " * i + "if x:\n" for i in range(1500))),
+    "comments": ("ruby", "# a\n" * 50_000 + "=begin\n" * 50_000),
+    "values": ("javascript", "x = " + "{} + " * 40_000),
+    "words": ("java", "public " * 60_000),
+    "members": ("cpp", "a::" * 60_000),
+    "dots": ("javascript", "\n" + "a." * 100_000),
+}
+
+
+@pytest.mark.parametrize("case", sorted(ODD))
+def test_odd_sources_take_linear_time(case):
+    language, source = ODD[case]
+    began = time.perf_counter()
+    chunk_source(source, language)
+    extract_symbols(source, language)
+    assert time.perf_counter() - began < 4
 
 
 def test_outline_kinds():
