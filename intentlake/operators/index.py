@@ -13,6 +13,7 @@ from intentlake.functions import text
 from intentlake.functions.packing import DEFAULT_SIZE, chunk_source
 from intentlake.functions.symbols import extract_symbols
 from intentlake.operators import ranking
+from intentlake.plans.runtime import store
 from intentlake.sources.filetree import check_root, read_tree
 
 
@@ -30,27 +31,32 @@ _CHUNK = pa.struct([("content", pa.string()), ("start_line", pa.int64()), ("end_
 _SYMBOL = pa.struct([("name", pa.string()), ("kind", pa.string()), ("line", pa.int64())])
 
 
-def _outliner(size: int, schema: pa.Schema):
+def _outliner(size: int | None, schema: list[str]):
+    """Chunks (unless size is None) and symbols of each file, beside its other columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sources, languages = batch.column("source").to_pylist(), batch.column("language").to_pylist()
-            chunks = [[vars(c) for c in chunk_source(s, n, size)] for s, n in zip(sources, languages, strict=True)]
-            symbols = [[{"name": a, "kind": b, "line": c} for a, b, c in extract_symbols(s, n)] for s, n in zip(sources, languages, strict=True)]
+            pairs = list(zip(batch.column("source").to_pylist(), batch.column("language").to_pylist(), strict=True))
+            made = [] if size is None else [pa.array([[vars(c) for c in chunk_source(s, n, size)] for s, n in pairs], pa.list_(_CHUNK))]
+            made.append(pa.array([[{"name": a, "kind": b, "line": c} for a, b, c in extract_symbols(s, n)] for s, n in pairs], pa.list_(_SYMBOL)))
             kept = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "source"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(chunks, pa.list_(_CHUNK)), pa.array(symbols, pa.list_(_SYMBOL))], names=schema)
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=schema)
 
     return run
 
 
-def outline_files(files: DataFrame, size: int = DEFAULT_SIZE, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:
+def outline_files(files: DataFrame, size: int | None = DEFAULT_SIZE, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:
     """keys, language, chunks, symbols of each file with (keys, language, source), in one pass without a shuffle.
 
-    A null or blank source has no chunks, a language without rules no symbols.
+    Without a size only the symbols are read. A null or blank source has no
+    chunks, a language without rules no symbols.
     """
     rows = files.select(*keys, F.col("language").cast("string").alias("language"), F.col("source").cast("string").alias("source"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "source")
-    names = [*keys, "language", "chunks", "symbols"]
-    return rows.mapInArrow(_outliner(size, names), f"{kinds}, chunks array<struct<content:string,start_line:bigint,end_line:bigint>>, symbols array<struct<name:string,kind:string,line:bigint>>")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "source"]
+    made = {"chunks": "array<struct<content:string,start_line:bigint,end_line:bigint>>", "symbols": "array<struct<name:string,kind:string,line:bigint>>"}
+    if size is None:
+        del made["chunks"]
+    return rows.mapInArrow(_outliner(size, [*keys, "language", *made]), ", ".join([*kinds, *[f"{k} {v}" for k, v in made.items()]]))
 
 
 def chunk_files(files: DataFrame, size: int = DEFAULT_SIZE, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:
@@ -66,7 +72,7 @@ def chunk_files(files: DataFrame, size: int = DEFAULT_SIZE, keys: tuple[str, ...
 
 def symbols_of(files: DataFrame, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:
     """keys, language, name, kind, line of each definition."""
-    return outline_files(files, keys=keys).select(*keys, "language", F.explode("symbols").alias("s")).select(*keys, "language", "s.name", "s.kind", "s.line")
+    return outline_files(files, None, keys).select(*keys, "language", F.explode("symbols").alias("s")).select(*keys, "language", "s.name", "s.kind", "s.line")
 
 
 def attach_symbols(chunks: DataFrame, symbols: DataFrame, keys: tuple[str, ...] = ("file_path",), chunk_key: tuple[str, ...] = ("chunk_no",)) -> DataFrame:
@@ -107,7 +113,7 @@ class Index:
         params = params or IndexParams()
         root = check_root(root)
         files = read_tree(spark, root, extensions=extensions, ignore=ignore, textFiles=text_files, maxBytes=params.max_file_bytes, requireGit=require_git)
-        index = cls.from_files(files, encoder, params)
+        index = cls.from_files(files, encoder, params).stored()
         if index._chunks.select("chunk_no").limit(1).isEmpty():
             raise ValueError(f"No supported files found under {root}")
         return index
@@ -118,6 +124,10 @@ class Index:
         chunks = chunk_files(files, (params or IndexParams()).chunk_size)
         return cls(encoder.encode(chunks, "content").withColumn("path_key", F.split("file_path", "/")), encoder)
 
+    def stored(self) -> Index:
+        """The index with its rows written to the shared folder, so that no later use walks or chunks again."""
+        return Index(store(self._chunks), self.encoder)
+
     def persist(self) -> Index:
         self._chunks = self._chunks.persist()
         return self

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from intentlake.functions import text, vectors
+from intentlake.plans.runtime import fresh_path
 
 
 @dataclass(frozen=True)
@@ -93,37 +95,48 @@ def batch_topk(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: st
     """(query_id, key, similarity, rank): the k most similar rows for each of many query vectors.
 
     The stated queries meet all rows in blocks of QUERY_BLOCK, each a matrix
-    product per batch of rows; a task passes on only k rows a query. Null
-    vectors and those of another width than the queries' first take no part.
+    product per batch of rows; a task passes on only k rows a query. With more
+    than one block each has its k best written down before the next, so neither
+    the driver nor a plan ever holds more than one. Null vectors take no part;
+    a query meets the rows of its own width.
     """
     spark = rows.sparkSession
-    found = None
-    for ids, matrix in _blocks(queries.select(F.col(query_id).cast("bigint"), F.col(query_vector).cast("array<double>"))):
+    asked = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vector).cast("array<double>").alias("q")).where(F.size("q") > 0)
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")
+
+    def ranked(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
         width = matrix.shape[1]
         length = np.sqrt((matrix * matrix).sum(axis=1))
         shared = spark.sparkContext.broadcast((ids, matrix / np.where(length > vectors.LEAST_NORM, length, 1.0)[:, None]))
         usable = rows.where((F.size(vector) == width) & F.col(key).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
         part = usable.select(F.col(key).cast("bigint"), F.col(vector).cast("array<double>")).mapInArrow(_partial_topk(shared, k, width), "query_id bigint, key bigint, similarity double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id bigint, key bigint, similarity double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
+        return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
+
+    blocks = _blocks(asked)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return spark.createDataFrame([], "query_id bigint, key bigint, similarity double, rank bigint")
+    if second is None:
+        return ranked(*first)
+    path = fresh_path(spark)
+    for block in chain((first, second), blocks):
+        ranked(*block).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids: list[int] = []
-    block: list = []
-    for row in queries.where(F.col(queries.columns[1]).isNotNull()).toLocalIterator():
-        if block and len(row[1]) != len(block[0]):
-            continue
-        ids.append(row[0])
-        block.append(row[1])
-        if len(block) == QUERY_BLOCK:
+    """Ids and vectors of QUERY_BLOCK queries (id, q) at a time, those of one width together; one with a null in it is left out."""
+    widths = sorted(r.n for r in queries.select(F.size("q").alias("n")).distinct().collect())  # one row per width
+    for width in widths:
+        ids, block = [], []
+        for row in queries.where((F.size("q") == width) & ~F.exists("q", lambda x: x.isNull())).toLocalIterator():
+            ids.append(row.id)
+            block.append(row.q)
+            if len(block) == QUERY_BLOCK:
+                yield np.array(ids, np.int64), np.array(block, float)
+                ids, block = [], []
+        if block:
             yield np.array(ids, np.int64), np.array(block, float)
-            ids, block = [], []
-    if block:
-        yield np.array(ids, np.int64), np.array(block, float)
 
 
 def weighted_rrf(signals: DataFrame, keys: list[str], k: float = 60.0) -> DataFrame:
@@ -166,14 +179,18 @@ def fused(pool: DataFrame, names: Column, params: SearchParams, keys: list[str],
     return marked.withColumn("score", score).withColumn("place", F.row_number().over(final).cast("bigint")).where(F.col("place") <= top_k).drop("_defines")
 
 
-def hybrid_search(rows: DataFrame, query: list[float], query_text: str, top_k: int, params: SearchParams, keys: list[str], vector: str = "embedding") -> DataFrame:
+def hybrid_search(rows: DataFrame, query: list[float], query_text: str, top_k: int, params: SearchParams, keys: list[str], vector: str = "embedding", contents: DataFrame | None = None) -> DataFrame:
     """Semantic pool, fusion with definitions, cut, matching lines, ratio filter.
 
-    rows: keys, vector, symbols, content, start_line, further columns. A top_k
-    of 0 has an empty pool and so no results.
+    rows: keys, vector, symbols, content, start_line, further columns. Where
+    content and start_line lie in a table of their own (keys, content,
+    start_line, further columns), they are fetched for the best rows only. A
+    top_k of 0 has an empty pool and so no results.
     """
     pool = cosine_topk(rows, query, top_k * params.candidate_multiplier, keys, vector)
     ranked = pool.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("similarity"), *keys)))
     best = fused(ranked, text.query_names(F.lit(query_text)), params, keys, top_k)
+    if contents is not None:
+        best = contents.join(F.broadcast(best), keys)  # at most top_k rows
     shown = best.withColumn("match_lines", F.coalesce(text.match_lines(F.col("content"), F.col("start_line"), F.lit(query_text)), F.array().cast("array<struct<line:bigint,content:string>>")))
     return low_score_filter(shown, params.min_score_ratio)

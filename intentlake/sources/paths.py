@@ -107,13 +107,16 @@ def with_language(files: DataFrame, path: str = "file_path") -> DataFrame:
     return files.join(F.broadcast(types), extension(slashes(F.col(path))) == F.col("_ext"), "left").drop("_ext")
 
 
-def admitted(files: DataFrame, path: str = "file_path", source: str = "source", max_bytes: int = 1_000_000, given: list[str] | None = None, text_files: bool = False, ignore: list[str] | None = None) -> DataFrame:
-    """Rows of a table of files that a walk would index, in the order of its tests.
+def is_admitted(path: str = "file_path", source: str = "source", max_bytes: int = 1_000_000, given: list[str] | None = None, text_files: bool = False, ignore: list[str] | None = None) -> Column:
+    """Whether a walk would index the file, in the order of its tests.
 
     Not ignored, known extension, not minified, not larger than `max_bytes`
-    (equal is kept), not blank. A null path or source is never admitted.
+    (equal is kept), not blank. Null for a null path or source.
     """
     p = slashes(F.col(path))
-    return files.where(
-        ~is_ignored(p, ignore) & extension(p).isin(extensions(given, text_files)) & ~is_minified(p) & (F.octet_length(source) <= max_bytes) & F.col(source).rlike(r"(?U)\S")
-    )
+    return ~is_ignored(p, ignore) & extension(p).isin(extensions(given, text_files)) & ~is_minified(p) & (F.octet_length(source) <= max_bytes) & F.col(source).rlike(r"(?U)\S")
+
+
+def admitted(files: DataFrame, *args, **kwargs) -> DataFrame:
+    """Rows of a table of files for which is_admitted() holds; a null path or source is never admitted."""
+    return files.where(is_admitted(*args, **kwargs))
