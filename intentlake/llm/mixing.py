@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from intentlake.plans.runtime import store
+
 #: Runs of letters and digits, and each other character that is no white space.
 TOKEN = r"(?U)[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 #: Blocks a source is dealt into, the units of the permutations: so many at least, and one for each so many documents.
@@ -55,31 +57,48 @@ class SourcePlan:
 def plan_mixture(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> list[SourcePlan]:
     """Weight and passes of each source, for a mixture as large as all its sources together.
 
-    The tempered weight of a source is share * (target / share) ** a: a = 0 is
-    the corpus as it is, a = 1 the wanted share. The exponent of a source is
-    the largest up to 1 that keeps it within max_repeats passes, found by
-    bisection; sources that reach a = 1 keep exactly their budget, so a scarce
-    source doesn't disturb the others' budgets. A source without tokens has
-    weight 0.
+    Between the corpus as it is (exponent 0) and the wanted mixture (exponent
+    1) the tempered size of a source is own ** (1 - a) * wanted ** a, both in
+    tokens. Its exponent is the largest up to 1 that keeps it within
+    max_repeats passes, found by bisection; a source whose exponent stays below
+    1 can't reach its share. The tempered weights are then normalised: the
+    sources below their limits are scaled by one factor, bisected too, until
+    all weights sum to 1 or every source is at its limit, so that these keep
+    their shares relative to each other. A source without tokens has weight 0.
     """
     total = sum(tokens.get(s, 0) for s in targets)
     plans = []
     for source, (wanted, repeats) in sorted(targets.items()):
-        own = tokens.get(source, 0)
-        reachable = not repeats * own < wanted * total
-        share = own / total if total else 0.0
-        if not share or wanted <= 0:
-            plans.append(SourcePlan(source, own, wanted, 0.0, 0.0, reachable, 0.0))
-            continue
+        own, goal = tokens.get(source, 0), wanted * total
+
+        def within(a: float, own: int = own, goal: float = goal, repeats: int = repeats) -> bool:
+            return own ** (1.0 - a) * goal**a <= repeats * own
+
+        if goal <= 0:
+            a, size = 1.0, 0.0
+        elif not own:
+            a, size = 0.0, 0.0
+        else:
+            # with less than one pass allowed even the corpus as it is goes beyond the limit
+            a = bisect(within, 0.0, 1.0)
+            size = min(own ** (1.0 - a) * goal**a, repeats * own)
+        plans.append(SourcePlan(source, own, wanted, size / total if total else 0.0, size / own if own else 0.0, a == 1.0 or goal <= 0, a))
+    limits = {p.source: targets[p.source][1] * p.tokens / total if total else 0.0 for p in plans}
+    return normalised(plans, limits)
+
+
+def normalised(plans: list[SourcePlan], limits: dict[str, float]) -> list[SourcePlan]:
+    """The plans with weights that sum to 1 as far as the limits allow: one factor for all below theirs."""
+    total = sum(p.tokens for p in plans)
 
-        def weight(a: float, share: float = share, wanted: float = wanted) -> float:
-            return share * (wanted / share) ** a
+    def scaled(factor: float) -> dict[str, float]:
+        return {p.source: min(p.weight * factor, limits[p.source]) for p in plans}
 
-        least = min(1.0, repeats) * share
-        a = 1.0 if reachable else bisect(lambda x: weight(x) <= repeats * share, 0.0, 1.0)
-        w = weight(a) if repeats >= 1 else min(weight(a), least)
-        plans.append(SourcePlan(source, own, wanted, w, w / share, reachable, a))
-    return plans
+    # beyond this factor every source with a weight is at its limit
+    most = max([limits[p.source] / p.weight for p in plans if p.weight > 0], default=1.0)
+    factor = bisect(lambda f: sum(scaled(f).values()) <= 1.0, 0.0, max(1.0, most))
+    weights = scaled(factor)
+    return [replace(p, weight=weights[p.source], passes=weights[p.source] * total / p.tokens if p.tokens else 0.0) for p in plans]
 
 
 def source_tokens(documents: DataFrame, targets: DataFrame) -> DataFrame:
@@ -106,14 +125,9 @@ def read_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
     return wanted
 
 
-def mixture(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[SourcePlan]]:
-    """Documents with their token counts, and the plan, from totals over all documents.
-
-    One partial aggregation; only one total per source of the targets reaches the driver.
-    """
-    own = source_tokens(documents, targets)
-    totals = {r.source: r.tokens for r in own.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
-    return own, plan_mixture(totals, read_targets(targets))
+def totals(own: DataFrame) -> dict[str, int]:
+    """Tokens of each source of the targets: one partial aggregation, one row per source to the driver."""
+    return {r.source: r.tokens for r in own.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
 
 
 PLAN = "source string, tokens bigint, target_share double, weight double, passes double, reachable boolean, exponent double"
@@ -121,22 +135,20 @@ PLAN = "source string, tokens bigint, target_share double, weight double, passes
 
 def plan_frame(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """The plan as rows: source, tokens, target_share, weight, passes, reachable, exponent."""
-    plans = mixture(documents, targets)[1]
+    plans = plan_mixture(totals(source_tokens(documents, targets)), read_targets(targets))
     return documents.sparkSession.createDataFrame([tuple(vars(p).values()) for p in plans], PLAN)
 
 
-def temperature(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """The mixture that is as even as the targets without naming them: source, share, exponent, weight.
+def plan_temperature(tokens: dict[str, int], wanted: dict[str, tuple[float, int]]) -> list[SourcePlan]:
+    """The mixture that is as even as the targets without naming them.
 
     One exponent for all sources, the tempered shares normalised. It is the
     largest up to 1 at which the entropy is that of the targets or more, found
     by bisection, and then raised as far as the repetition limits demand (at 1
     every source is used once, which each limit of 1 or more allows).
     """
-    plans = mixture(documents, targets)[1]
-    wanted = read_targets(targets)
-    total = sum(p.tokens for p in plans)
-    shares = {p.source: p.tokens / total if total else 0.0 for p in plans}
+    total = sum(tokens.get(s, 0) for s in wanted)
+    shares = {s: tokens.get(s, 0) / total if total else 0.0 for s in wanted}
     positive = {s: t for s, (t, _) in wanted.items() if t > 0}
     scale = sum(positive.values())
     exponent = min(1.0, exponent_for_entropy(shares, entropy({s: t / scale for s, t in positive.items()}))) if scale and total else 1.0
@@ -146,21 +158,31 @@ def temperature(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
     if not within(exponent):
         exponent = 1.0 - bisect(lambda d: within(1.0 - d), 0.0, 1.0 - exponent)
-    rows = [(s, shares[s], exponent, w) for s, w in sorted(tempered(shares, exponent).items())]
-    return documents.sparkSession.createDataFrame(rows, "source string, share double, exponent double, weight double")
+    weights = tempered(shares, exponent)
+    return [SourcePlan(s, tokens.get(s, 0), wanted[s][0], w, w / shares[s] if shares[s] else 0.0, True, exponent) for s, w in sorted(weights.items())]
 
 
-def draw(documents: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
-    """How often each document is used: doc_id, source, tokens, repeats; unused documents have 0.
+def temperature(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """plan_temperature() and what its permuted blocks reach: source, share, exponent, weight, reached_share."""
+    own = store(source_tokens(documents, targets))
+    plans = plan_temperature(totals(own), read_targets(targets))
+    total = sum(p.tokens for p in plans)
+    rows = [(p.source, p.tokens / total if total else 0.0, p.exponent, p.weight) for p in plans]
+    return _reached(documents.sparkSession.createDataFrame(rows, "source string, share double, exponent double, weight double"), realise(own, plans)).drop("used_tokens", "most_repeats")
+
+
+def realise(own: DataFrame, plans: list[SourcePlan], seed: int = 17) -> DataFrame:
+    """How often each document of `own` is used: doc_id, source, tokens, repeats; unused documents have 0.
 
     Whole passes use every document. For the broken last pass the documents of
     a source lie in hashed blocks; the blocks are taken in a permuted order as
     long as the budget lasts, and only the block at the edge of the budget is
     ordered inside, so no source is ever sorted as a whole.
     """
-    own, plans = mixture(documents, targets)
-    spark = documents.sparkSession
-    budgets = spark.createDataFrame([(p.source, int(p.passes + 1e-9), max(0.0, p.weight * sum(q.tokens for q in plans) - int(p.passes + 1e-9) * p.tokens)) for p in plans], "source string, whole int, rest double")
+    spark = own.sparkSession
+    total = sum(p.tokens for p in plans)
+    whole = {p.source: int(p.passes + 1e-9) for p in plans}
+    budgets = spark.createDataFrame([(p.source, whole[p.source], max(0.0, p.weight * total - whole[p.source] * p.tokens)) for p in plans], "source string, whole int, rest double")
     dealt_into = max(BLOCKS, -(-own.count() // BLOCK_DOCUMENTS))
     own = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(dealt_into)))
     blocks = own.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"))
@@ -169,18 +191,27 @@ def draw(documents: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     dealt = own.join(before, ["source", "block"])
     edge = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("block_tokens") > F.col("rest"))
     inside = Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    whole = dealt.where(~edge).withColumn("used", (F.col("before") < F.col("rest")).cast("int"))
+    full = dealt.where(~edge).withColumn("used", (F.col("before") < F.col("rest")).cast("int"))
     part = dealt.where(edge).withColumn("used", (F.sum("tokens").over(inside) + F.col("before") <= F.col("rest")).cast("int"))
-    return whole.unionByName(part).select("doc_id", "source", "tokens", (F.col("whole") + F.col("used")).cast("bigint").alias("repeats"))
+    return full.unionByName(part).select("doc_id", "source", "tokens", (F.col("whole") + F.col("used")).cast("bigint").alias("repeats"))
+
+
+def draw(documents: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
+    """The planned mixture, realised; texts are read once, and then only their token counts."""
+    own = store(source_tokens(documents, targets))
+    return realise(own, plan_mixture(totals(own), read_targets(targets)), seed)
+
+
+def _reached(plan: DataFrame, drawn: DataFrame) -> DataFrame:
+    used = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used_tokens"), F.max("repeats").alias("most_repeats"))
+    everything = Window.partitionBy(F.lit(1))  # one row per source of the targets
+    filled = plan.join(used, "source", "left").withColumns({"used_tokens": F.coalesce("used_tokens", F.lit(0)), "most_repeats": F.coalesce("most_repeats", F.lit(0))})
+    return filled.withColumn("reached_share", F.col("used_tokens") / F.sum("used_tokens").over(everything))
 
 
 def reached(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source: passes, tokens used and the share actually reached, beside the target."""
-    used = draw(documents, targets).groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used_tokens"), F.max("repeats").alias("most_repeats"))
-    plan = plan_frame(documents, targets)
-    everything = Window.partitionBy(F.lit(1))  # one row per source of the targets
-    return (
-        plan.join(used, "source", "left")
-        .withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
-        .select("source", "tokens", "target_share", "reachable", F.round("passes", 6).alias("passes"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "used_tokens", (F.col("used_tokens") / F.sum("used_tokens").over(everything)).alias("reached_share"))
-    )
+    own = store(source_tokens(documents, targets))
+    plans = plan_mixture(totals(own), read_targets(targets))
+    plan = documents.sparkSession.createDataFrame([tuple(vars(p).values()) for p in plans], PLAN)
+    return _reached(plan, realise(own, plans)).select("source", "tokens", "target_share", "reachable", F.round("passes", 6).alias("passes"), "most_repeats", "used_tokens", "reached_share")

@@ -83,7 +83,7 @@ def p7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = mixing.temperature(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
-    return even.select("source", *[F.round(c, 6).alias(c) for c in ("share", "exponent", "weight")])
+    return even.select("source", *[F.round(c, 6).alias(c) for c in ("share", "exponent", "weight", "reached_share")])
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,10 @@ def test_tokens_and_plan(spark):
     for s, (share, most) in {"big": (0.6, 2), "small": (0.3, 3), "other": (0.1, 4)}.items():
         assert plan[s].reachable == (not most * plan[s].tokens < share * total)
         assert plan[s].passes <= most + 1e-9
-        assert plan[s].weight == pytest.approx(share if plan[s].reachable else most * plan[s].tokens / total)
+        assert (plan[s].exponent == 1) == plan[s].reachable
+        if not plan[s].reachable:
+            assert plan[s].passes == pytest.approx(most)
+    assert sum(p.weight for p in plan.values()) == pytest.approx(1)  # the short sources are used up, the rest goes to the other
     assert not plan["small"].reachable and plan["small"].passes == pytest.approx(3)
     assert plan["empty"].weight == 0 and plan["empty"].reachable
 
@@ -53,6 +56,18 @@ def test_draw_meets_the_budget(spark):
     assert shares["small"].most_repeats == 3
 
 
+def test_limits_that_bind():
+    plan = {p.source: p for p in mixing.plan_mixture({"a": 10, "b": 90, "c": 0}, {"a": (0.5, 2), "b": (0.3, 1), "c": (0.2, 3)})}
+    assert (plan["a"].passes, plan["a"].reachable, plan["c"].reachable) == (pytest.approx(2), False, False)
+    assert plan["b"].weight == pytest.approx(0.8) and plan["b"].reachable
+    exact = mixing.plan_mixture({"a": 3, "b": 7}, {"a": (0.6, 2), "b": (0.4, 1)})
+    assert all(p.reachable for p in exact)  # just within its limit
+    full = mixing.plan_mixture({"a": 3, "b": 7}, {"a": (0.9, 1), "b": (0.1, 1)})
+    assert sum(p.weight for p in full) == pytest.approx(1) and not full[0].reachable
+    assert [p.weight for p in mixing.plan_mixture({"a": 5, "b": 5}, {"a": (0.5, 0), "b": (0.5, 0)})] == [0, 0]
+    assert mixing.plan_mixture({}, {}) == [] and mixing.plan_mixture({}, {"a": (0.5, 1)})[0].weight == 0
+
+
 def test_exponents():
     shares = {"a": 0.7, "b": 0.2, "c": 0.1}
     assert mixing.tempered(shares, 0) == pytest.approx({k: 1 / 3 for k in shares})
@@ -69,6 +84,7 @@ def test_temperature_respects_limits(spark):
     assert sum(r.weight for r in rows.values()) == pytest.approx(1)
     limits = {"big": 2, "small": 3, "other": 4, "empty": 1}
     assert all(r.weight <= limits[s] * r.share + 1e-9 for s, r in rows.items())
+    assert all(abs(r.reached_share - r.weight) < 0.02 for r in rows.values())
 
 
 def test_empty_tables(spark):
