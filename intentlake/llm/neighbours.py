@@ -14,16 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from intentlake.operators.ranking import _best, batch_topk
-from intentlake.plans.runtime import spread, store
-
-#: Nearest pivots of a vector that make up its (cut) permutation; it is posted under each.
-PREFIX = 6
-#: Vectors per pivot aimed at, and the bound of the pivots: the fitted sample, sent to all executors (at 64 x 4 bytes each, 2 MB).
-PER_PIVOT, MAX_PIVOTS = 32, 8192
+from intentlake.plans.runtime import fresh_path, spread, store
+
+#: Nearest pivots of a vector that make up its (cut) permutation, and the nearest of these under which it is posted.
+PREFIX, POSTED = 6, 5
+#: Vectors per pivot aimed at, and the bound of the pivots: the fitted sample, sent to all executors (at 64 x 4 bytes each, 64 MB at most).
+PER_PIVOT, MAX_PIVOTS = 16, 1 << 18
+#: Pivots of a cell, and the nearest cells whose pivots a vector is compared with.
+PER_CELL, PROBES = 128, 64
+#: Vectors are posted in steps of this part of 1, in two bytes a number: a cosine of posted vectors is off by about 0.00001.
+STEP = 1 / 32767
 #: Candidates by footrule of each vector in a posting list, reranked by cosine.
 RERANK = 96
-#: Postings of one pivot that one task compares; longer lists are compared block by block.
-BLOCK = 1024
+#: Postings of one pivot that one task compares, and how many at a time; longer lists are compared block by block.
+BLOCK, AT_A_TIME = 8192, 1024
 #: Cosine from which the index reaches its recall; a vector whose k-th neighbour by the index lies below is compared with all.
 NEAR = 0.8
 #: Vectors that are compared with all others at a time, sent to all executors (at 64 x 4 bytes each, 2 MB).
@@ -47,14 +51,46 @@ def _units(width: int):
     return run
 
 
-def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """For each row the numbers of its nearest pivots, nearest first."""
-    out = np.empty((len(unit), prefix), np.int32)
-    for at in range(0, len(unit), 2000):
-        s = unit[at : at + 2000] @ pivots.T
-        near = np.argpartition(-s, prefix - 1, axis=1)[:, :prefix]
-        out[at : at + 2000] = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
-    return out
+class Pivots:
+    """The pivots in cells around every PER_CELL-th of them, so that a search compares with few of very many."""
+
+    def __init__(self, pivots: np.ndarray) -> None:
+        self.pivots = pivots
+        self.centres = pivots[:: PER_CELL]
+        cell = np.concatenate([np.argmax(pivots[at : at + 8192] @ self.centres.T, axis=1) for at in range(0, len(pivots), 8192)])
+        self.order = np.argsort(cell, kind="stable")
+        self.bounds = np.searchsorted(cell[self.order], np.arange(len(self.centres) + 1))
+
+    def nearest(self, unit: np.ndarray, prefix: int) -> np.ndarray:
+        """For each row the numbers of its nearest pivots, nearest first, among those of its PROBES nearest cells."""
+        return np.concatenate([self._some(unit[at : at + 2000], prefix) for at in range(0, len(unit), 2000)]) if len(unit) else np.empty((0, prefix), np.int32)
+
+    def _some(self, unit: np.ndarray, prefix: int) -> np.ndarray:
+        if len(self.centres) <= PROBES:
+            return top(unit @ self.pivots.T, np.arange(len(self.pivots), dtype=np.int32)[None, :], prefix)
+        to_centres = unit @ self.centres.T
+        probed = np.argpartition(-to_centres, PROBES - 1, axis=1)[:, :PROBES]
+        best = np.full((len(unit), prefix), -2, np.float32)
+        names = np.full((len(unit), prefix), -1, np.int32)
+        rows = np.repeat(np.arange(len(unit)), PROBES)
+        by_cell = np.argsort(probed.ravel(), kind="stable")
+        cells, starts = np.unique(probed.ravel()[by_cell], return_index=True)
+        for cell, mine in zip(cells, np.split(rows[by_cell], starts[1:]), strict=True):
+            members = self.order[self.bounds[cell] : self.bounds[cell + 1]]
+            if not len(members):
+                continue
+            s = np.hstack((best[mine], unit[mine] @ self.pivots[members].T))
+            n = np.hstack((names[mine], np.broadcast_to(members.astype(np.int32), (len(mine), len(members)))))
+            near = np.argpartition(-s, prefix - 1, axis=1)[:, :prefix]
+            best[mine], names[mine] = np.take_along_axis(s, near, 1), np.take_along_axis(n, near, 1)
+        return top(best, names, prefix)
+
+
+def top(score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Names of the k greatest scores of each row, greatest first."""
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1)
+    return np.take_along_axis(np.broadcast_to(names, score.shape), near, 1).astype(np.int32)
 
 
 def footrule(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -89,16 +125,18 @@ def best_in_block(x: dict, y: dict, same: bool, k: int, floor: float) -> list[tu
     return [(x["id"][rows], y["id"][np.take_along_axis(near, top, 1)[rows, cols]], score[rows, cols])]
 
 
-def _poster(pivots, width: int, prefix: int):
+def _poster(pivots, width: int, prefix: int, posted: int):
     schema = pa.schema([("id", pa.int64()), ("v", pa.binary()), ("perm", pa.binary()), ("pivots", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Pivots(pivots.value)
         for batch in batches:
             unit = np.asarray(batch.column(1).flatten(), np.float32).reshape(-1, width)
-            perm = nearest_pivots(unit, pivots.value, prefix)
-            starts = np.arange(0, perm.size + 1, prefix, dtype=np.int32)
+            perm = index.nearest(unit, prefix)
+            under = np.ascontiguousarray(perm[:, :posted])
+            starts = np.arange(0, under.size + 1, posted, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r.tobytes() for r in unit], pa.binary()), pa.array([r.tobytes() for r in perm.astype(np.uint16)], pa.binary()), pa.ListArray.from_arrays(pa.array(starts), pa.array(perm.ravel()))],
+                [batch.column(0), pa.array([r.tobytes() for r in np.round(unit / STEP).astype(np.int16)], pa.binary()), pa.array([r.tobytes() for r in perm], pa.binary()), pa.ListArray.from_arrays(pa.array(starts), pa.array(under.ravel()))],
                 schema=schema,
             )
 
@@ -108,17 +146,21 @@ def _poster(pivots, width: int, prefix: int):
 def _ranker(k: int, floor: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        side = lambda g: {
-            "id": g.id.to_numpy(),
-            "v": np.frombuffer(b"".join(g.v), np.float32).reshape(len(g), -1),
-            "perm": np.frombuffer(b"".join(g.perm), np.uint16).reshape(len(g), -1),
-        }
+
+        def sides(g: pd.DataFrame) -> list[dict]:
+            ids, v, perm = g.id.to_numpy(), np.frombuffer(b"".join(g.v), np.int16).reshape(len(g), -1) * np.float32(STEP), np.frombuffer(b"".join(g.perm), np.int32).reshape(len(g), -1)
+            return [{"id": ids[at : at + AT_A_TIME], "v": v[at : at + AT_A_TIME], "perm": perm[at : at + AT_A_TIME]} for at in range(0, len(g), AT_A_TIME)]
+
+        found: list[tuple] = []
         if i == j:
-            x = side(pdf)
-            found = best_in_block(x, x, True, k, floor)
+            own = sides(pdf)
+            for m, x in enumerate(own):
+                for n, y in enumerate(own):
+                    found += best_in_block(x, y, m == n, k, floor)
         else:
-            x, y = side(pdf[pdf.block == i]), side(pdf[pdf.block == j])
-            found = best_in_block(x, y, False, k, floor) + best_in_block(y, x, False, k, floor)
+            for x in sides(pdf[pdf.block == i]):
+                for y in sides(pdf[pdf.block == j]):
+                    found += best_in_block(x, y, False, k, floor) + best_in_block(y, x, False, k, floor)
         parts = [np.concatenate(p) for p in zip(*found, strict=True)] or [np.zeros(0)] * 3
         return pd.DataFrame({"a": parts[0].astype(np.int64), "b": parts[1].astype(np.int64), "cosine": parts[2].astype(np.float64)})
 
@@ -129,8 +171,11 @@ def class_neighbours(classes: DataFrame, width: int, k: int, floor: float) -> Da
     """(a, b, cosine): for each distinct vector (id, v) up to k others, by the permutation index.
 
     Pivots are a hashed sample of the vectors themselves, so that dense regions
-    get many of them and posting lists stay of a like length. The index holds
-    every vector; only the pivots are a sample, of at most MAX_PIVOTS.
+    get many of them and posting lists stay of a like length, about POSTED *
+    PER_PIVOT, up to MAX_PIVOTS * PER_PIVOT vectors (4.2 million); beyond,
+    lists grow with the vectors. The index holds every vector; only the pivots
+    are a sample. A vector is sent once for each of its POSTED lists, unless
+    one is longer than BLOCK.
     """
     spark = classes.sparkSession
     count = classes.count()
@@ -143,12 +188,13 @@ def class_neighbours(classes: DataFrame, width: int, k: int, floor: float) -> Da
     if not prefix:
         return spark.createDataFrame([], "a bigint, b bigint, cosine double")
     shared = spark.sparkContext.broadcast(pivots)
-    posted = classes.select("id", "v").mapInArrow(_poster(shared, width, prefix), "id bigint, v binary, perm binary, pivots array<int>")
+    posted = classes.select("id", "v").mapInArrow(_poster(shared, width, prefix, min(POSTED, prefix)), "id bigint, v binary, perm binary, pivots array<int>")
     posted = store(posted)
-    lengths = posted.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    lengths = posted.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    lengths = F.broadcast(store(lengths))  # a list in 8192 postings at most, of at most MAX_PIVOTS
     lists = (
         posted.select("id", "v", "perm", F.explode("pivots").alias("pivot"))
-        .join(F.broadcast(lengths), "pivot")  # at most MAX_PIVOTS rows
+        .join(lengths, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("id", "v", "perm", "pivot", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -196,17 +242,18 @@ def far_neighbours(classes: DataFrame, links: DataFrame, width: int, k: int) ->
     bound = ranked.select(F.col("a").alias("id"), (F.get("c", F.lit(k - 1)) - 1e-5).alias("least"))
     asked = store(classes.select("id", "v").join(bound, "id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0))).where(F.col("least") < NEAR))
     blocks = math.ceil(asked.count() / FAR_BLOCK)
-    found = spark.createDataFrame([], "a bigint, b bigint, cosine double")
+    path = fresh_path(spark)
+    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     for i in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)) == i).toArrow().combine_chunks()
         if not part.num_rows:
             continue
         q = np.asarray(part["v"].combine_chunks().flatten(), np.float32).reshape(-1, width)
         shared = spark.sparkContext.broadcast((part["id"].to_numpy(), q, part["least"].to_numpy().astype(np.float32)))
-        found = found.unionByName(store(spread(classes.select("id", "v")).mapInArrow(_scanner(shared, k, width), "a bigint, b bigint, cosine double")))
+        found = spread(classes.select("id", "v")).mapInArrow(_scanner(shared, k, width), "a bigint, b bigint, cosine double")
+        found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place").write.mode("append").parquet(path)
         shared.unpersist()
-    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+    return spark.read.schema("a bigint, b bigint, cosine double").parquet(path) if blocks else spark.createDataFrame([], "a bigint, b bigint, cosine double")
 
 
 def most_similar(vectors: DataFrame, id_column: str, vector_column: str, width: int = 64, k: int = 5, floor: float = -1.0, far: bool = True) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 
 from intentlake.llm import neighbours, queries
-from intentlake.llm.neighbours import best_in_block, footrule, most_similar, nearest_pivots
+from intentlake.llm.neighbours import Pivots, best_in_block, footrule, most_similar
 
 SCHEMA = "k bigint, e array<float>, id string, v string, class int, place int"
 
@@ -88,8 +88,8 @@ def test_pivots_come_nearest_first():
     rng = np.random.default_rng(6)
     x, p = rng.normal(size=(20, 8)).astype(np.float32), rng.normal(size=(15, 8)).astype(np.float32)
     s = x @ p.T
-    assert (nearest_pivots(x, p, 4) == np.argsort(-s, axis=1)[:, :4]).all()
-    side = {"id": np.arange(20), "v": x, "perm": nearest_pivots(x, p, 4).astype(np.uint16)}
+    assert (Pivots(p).nearest(x, 4) == np.argsort(-s, axis=1)[:, :4]).all()
+    side = {"id": np.arange(20), "v": x, "perm": Pivots(p).nearest(x, 4)}
     assert best_in_block({**side, "id": side["id"][:0]}, side, False, 3, -1) == []
 
 
@@ -103,3 +103,18 @@ def test_far_neighbours_are_found_too(spark, tmp_path, monkeypatch):
         found.setdefault(r.vec_id, set()).add(r.neighbour)
     truth = brute(list(range(len(x))), x)
     assert all(found[i] == set(v) for i, v in truth.items())
+
+
+def test_search_among_many_cells(monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    p = (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.3).astype(np.float32)
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    x = p[:300] + rng.normal(size=(300, 16)).astype(np.float32) * 0.05
+    exact = Pivots(p).nearest(x, 6)
+    monkeypatch.setattr(neighbours, "PER_CELL", 20)
+    monkeypatch.setattr(neighbours, "PROBES", 24)
+    few = Pivots(p)
+    assert len(few.centres) == 200
+    assert (few.nearest(x, 6) == exact).mean() > 0.95
+    assert few.nearest(x[:0], 6).shape == (0, 6)
