@@ -18,8 +18,8 @@ from intentlake.plans.runtime import spread, store
 ROWS, BANDS = 3, 24
 #: Classes in a bucket from which they are compared by rare shingles and not pair by pair.
 HOT_BUCKET = 1000
-#: Byte-equal copies of one text up to which links are expanded to all of them; larger groups are linked through their first member.
-MOST_COPIES = 1000
+#: Of the byte-equal copies of a text the first so many, by id, stand for it: every record is paired with these of each text that is similar to its own.
+REPRESENTATIVES = 100
 
 SIGNED = pa.schema([("id", pa.int64()), ("class", pa.binary()), ("n", pa.int32()), ("shingles", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64())), ("text", pa.binary())])
 SIGNED_DDL = "id bigint, class binary, n int, shingles array<int>, bands array<bigint>, text binary"
@@ -125,28 +125,37 @@ def class_pairs(rows: DataFrame, threshold: float, hot_bucket: int = HOT_BUCKET)
     return both.select("a", "b", (shared / (F.col("na") + F.col("nb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def similar_pairs(records: DataFrame, id_column: str, text_column: str, threshold: float = 0.6, width: int = 3, least: int = 40, most_copies: int = MOST_COPIES, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """(a, b), a < b: all pairs of records with similarity at or above `threshold`.
+def similar_pairs(records: DataFrame, id_column: str, text_column: str, threshold: float = 0.6, width: int = 3, least: int = 40, representatives: int = REPRESENTATIVES, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """(a, b), a < b: pairs of records with similarity at or above `threshold`.
 
-    The links between classes are expanded to their members, as the wanted
-    result names records. Only a group of more than `most_copies` byte-equal
-    copies isn't: each is linked with the group's first, which carries the
-    group's links with other texts, be they of the same shingles or not. So no
-    link between different texts is lost, however many share their shingles.
-    near_duplicate_groups() links classes through their first throughout. Null ids and texts and
-    short texts take no part; a record that comes again counts once.
+    One rule at every size: a record is paired with the representatives of each
+    text that is similar to its own, which is one of them; these are the first
+    `representatives` byte-equal copies of the text by id. So all pairs come
+    out among texts of up to so many copies, every record has its links with
+    all similar texts however many share their shingles, and the pairs grow in
+    proportion to the records where one text has very many copies.
+    near_duplicate_groups() has one row per record instead. Null ids and texts
+    and short texts take no part; a record that comes again counts once.
     """
     rows = signed(records, id_column, text_column, width, least)
     members = rows.groupBy("id", "class").agg(F.min("text").alias("text"))
-    heads = members.groupBy("class", "text").agg(F.min("id").alias("head"), (F.count("*") > most_copies).alias("large"))
-    members = store(members.join(heads, ["class", "text"]).select("id", "class", "head", "large"))
-    links = class_pairs(rows, threshold, hot_bucket)
-    named = members.where("not large or id = head")
-    left, right = named.select(F.col("id").alias("x"), F.col("class").alias("a")), named.select(F.col("id").alias("y"), F.col("class").alias("b"))
-    across = links.select("a", "b").join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    within = named.select(F.col("id").alias("x"), "class").join(named.select(F.col("id").alias("y"), "class"), "class").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    star = members.where("large and id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    return across.unionByName(within).unionByName(star)
+    # each task passes on only the first of every text
+    first = Window.partitionBy("class", "text").orderBy("id")
+    standing = store(members.withColumn("n", F.row_number().over(first)).where(F.col("n") <= representatives).select("class", "id"))
+    copies = store(members.select("class", "id").join(standing, ["class", "id"], "left_anti"))
+    links = store(class_pairs(rows, threshold, hot_bucket).select("a", "b"))
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        x, y = left.select(F.col("class").alias("a"), F.col("id").alias("x")), right.select(F.col("class").alias("b"), F.col("id").alias("y"))
+        return links.join(x, "a").join(y, "b").select("x", "y")
+
+    def within(left: DataFrame) -> DataFrame:
+        return left.select("class", F.col("id").alias("x")).join(standing.select("class", F.col("id").alias("y")), "class").select("x", "y")
+
+    pairs = meet(standing, standing).unionByName(within(standing).where("x < y"))
+    if not copies.isEmpty():  # there are none where no text has so many
+        pairs = pairs.unionByName(meet(copies, standing)).unionByName(meet(standing, copies)).unionByName(within(copies))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicate_groups(records: DataFrame, id_column: str, text_column: str, threshold: float = 0.6, width: int = 3, least: int = 40) -> DataFrame:

@@ -65,11 +65,13 @@ def test_hot_buckets_lose_no_pair(spark):
     assert got <= truth and len(got) >= 0.99 * len(truth)
 
 
-def test_large_groups_of_copies_are_linked_through_their_first(spark):
+def test_one_form_at_every_number_of_copies(spark):
     base, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"a{i}" for i in range(55)) + " z z z z z"
-    rows = [(i, base) for i in range(1, 31)] + [(100, other)]
-    got = {(r.a, r.b) for r in similar_pairs(frame(spark, rows), "k", "t", most_copies=10).collect()}
-    assert got == {(1, i) for i in range(2, 31)} | {(1, 100)}
+    for copies in (9, 10, 11, 30):
+        rows = [(i, base) for i in range(1, copies + 1)] + [(100, other)]
+        got = [(r.a, r.b) for r in similar_pairs(frame(spark, rows), "k", "t", representatives=10).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {(a, b) for a in range(1, 11) for b in range(a + 1, copies + 1)} | {(i, 100) for i in range(1, copies + 1)}
 
 
 def test_groups_have_one_row_per_record(spark):
@@ -119,7 +121,7 @@ def test_large_groups_of_different_texts_are_paired_in_full(spark):
     other = " ".join(words[:55]) + " z z z z z"
     # variants of one set of shingles, of which one has many copies
     rows = [(i, (" " * i + "- ").join(words)) for i in range(1, 21)] + [(100 + i, ", ".join(words)) for i in range(15)] + [(200, other)]
-    got = [(r.a, r.b) for r in similar_pairs(frame(spark, rows), "k", "t", most_copies=10).collect()]
-    named = [*range(1, 21), 100, 200]
+    got = [(r.a, r.b) for r in similar_pairs(frame(spark, rows), "k", "t", representatives=10).collect()]
+    standing, copies = [*range(1, 21), *range(100, 110), 200], range(110, 115)
     assert len(got) == len(set(got))
-    assert set(got) == {(a, b) for a in named for b in named if a < b} | {(100, 100 + i) for i in range(1, 15)}
+    assert set(got) == {(a, b) for a in standing for b in standing if a < b} | {(min(a, b), max(a, b)) for a in copies for b in standing}
