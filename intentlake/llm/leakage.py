@@ -6,10 +6,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from intentlake.plans.runtime import spread
 
@@ -19,8 +19,8 @@ WORDS = 12
 SHARD_WORDS = 400_000
 #: Every so many positions of the text the suffix array is kept.
 SAMPLE = 16
-#: Words of evaluation text up to which phrases are sent to every executor; beyond, the phrases go in slices of this size.
-PHRASE_WORDS = 2_000_000
+#: Words of evaluation text in a slice that is sent to every executor, and in all slices together (about 200 MB).
+PHRASE_WORDS, MOST_WORDS = 2_000_000, 30_000_000
 
 
 def words(text: str) -> list[str]:
@@ -128,55 +128,58 @@ class FMIndex:
         return found
 
 
+class Shard:
+    """The FM-index of some documents' words: a symbol for each word that an evaluation text has too.
+
+    Words of no evaluation text become the symbol 2, the end of a document the
+    symbol 1; neither is part of a phrase.
+    """
+
+    def __init__(self, documents: list[tuple[int, list[str]]], symbols: dict[str, int]) -> None:
+        self.documents = [d for d, _ in documents]
+        parts, self.starts, at = [], [], 0
+        for _, ws in documents:
+            parts.append(np.fromiter((symbols.get(w, 2) for w in ws), np.int64, len(ws)))
+            parts.append(np.ones(1, np.int64))
+            self.starts.append(at)
+            at += len(ws) + 1
+        self.index = FMIndex(np.concatenate(parts))
+
+
 class Phrases:
-    """All runs of `n` words of the evaluation texts, as symbols of their own small alphabet."""
+    """All runs of `n` words of some evaluation texts, as symbols of the alphabet given, which new words are added to."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int = WORDS) -> None:
-        self.symbols: dict[str, int] = {}
+    def __init__(self, items: list[tuple[int, str]], symbols: dict[str, int], n: int = WORDS) -> None:
         by_phrase: dict[tuple[int, ...], set[int]] = {}
         for item, text in items:
-            ids = [self.symbols.setdefault(w, len(self.symbols) + 3) for w in words(text)]
+            ids = [symbols.setdefault(w, len(symbols) + 3) for w in words(text)]
             for i in range(len(ids) - n + 1):
                 by_phrase.setdefault(tuple(ids[i : i + n]), set()).add(item)
         self.table = np.array(sorted(by_phrase), np.int64).reshape(-1, n)
         self.items = [sorted(by_phrase[tuple(p)]) for p in self.table.tolist()]
         self.n = n
 
-    def find(self, documents: list[tuple[int, list[str]]]) -> Iterator[tuple[int, int, int, int]]:
-        """(doc_id, item_id, first word, last word + 1), overlapping runs of an item merged.
-
-        Words that no evaluation text has become the symbol 2, the end of a
-        document the symbol 1; neither is part of a phrase.
-        """
-        symbol = self.symbols.get
-        parts, starts, at = [], [], 0
-        for _, ws in documents:
-            parts.append(np.fromiter((symbol(w, 2) for w in ws), np.int64, len(ws)))
-            parts.append(np.ones(1, np.int64))
-            starts.append(at)
-            at += len(ws) + 1
-        if not len(self.table) or not parts:
-            return
-        index = FMIndex(np.concatenate(parts))
-        low, high = index.search(self.table)
+    def find(self, shard: Shard) -> Iterator[tuple[int, int, int, int]]:
+        """(doc_id, item_id, first word, last word + 1), overlapping runs of an item merged."""
+        low, high = shard.index.search(self.table)
         hits = np.flatnonzero(low < high)
         counts = high[hits] - low[hits]
         if not len(hits):
             return
         rows = np.repeat(low[hits], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         phrase = np.repeat(hits, counts)
-        positions = index.locate(rows)
-        owner = np.searchsorted(starts, positions, side="right") - 1
+        positions = shard.index.locate(rows)
+        owner = np.searchsorted(shard.starts, positions, side="right") - 1
         spans: dict[tuple[int, int], list[int]] = {}
         for p, d, x in zip(phrase.tolist(), owner.tolist(), positions.tolist(), strict=True):
             for item in self.items[p]:
-                spans.setdefault((d, item), []).append(x - starts[d])
+                spans.setdefault((d, item), []).append(x - shard.starts[d])
         for (d, item), found in spans.items():
             found.sort()
             begin = end = found[0]
             for x in found[1:] + [None]:
                 if x is None or x > end + self.n:
-                    yield documents[d][0], item, begin, end + self.n
+                    yield shard.documents[d], item, begin, end + self.n
                     begin = x
                 end = x
 
@@ -184,28 +187,32 @@ class Phrases:
 SPANS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 
 
-def _searcher(items, n: int):
+def _searcher(slices: list, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(items.value, n)
+        symbols: dict[str, int] = {}
+        phrases = [p for p in (Phrases(one.value, symbols, n) for one in slices) if len(p.table)]
         shard: list[tuple[int, list[str]]] = []
         size = 0
 
-        def flush() -> pa.RecordBatch:
-            found = list(zip(*phrases.find(shard), strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], schema=SPANS)
+        def flush() -> Iterator[pa.RecordBatch]:
+            index = Shard(shard, symbols)
+            for part in phrases:
+                found = list(zip(*part.find(index), strict=True))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], schema=SPANS)
 
-        for batch in batches:
+        for batch in batches if phrases else ():
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ws = words(text)
                 if len(ws) < n:
                     continue
                 if shard and size + len(ws) > SHARD_WORDS:
-                    yield flush()
+                    yield from flush()
                     shard, size = [], 0
                 shard.append((doc, ws))
                 size += len(ws) + 1
         if shard:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -219,44 +226,42 @@ def leaked_spans(documents: DataFrame, items: DataFrame, n: int = WORDS) -> Data
 
     Null and shorter texts never match. A document or an item that comes again
     gives the same rows again only if its key differs; equal rows come once.
-    The evaluation texts are a fixed set of a size that is checked: they are sent in
-    slices of at most PHRASE_WORDS words, one pass over the corpus for each.
-    The corpus itself is never shuffled: every task indexes its own documents.
+    The evaluation texts are a fixed set of a size that is checked: more than
+    MOST_WORDS words are an error. They are sent in slices of PHRASE_WORDS; a
+    task builds the index of its own documents once and searches slice by
+    slice, so the corpus is read once and never shuffled.
     """
     spark = documents.sparkSession
     corpus = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull()))
     # Items are read in order of their id, slice by slice, so the driver holds one slice at a time.
     slices: list = []
-    part, size = [], 0
+    part, size, total = [], 0, 0
     usable = items.select(F.col("item_id").cast("bigint"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     for item, text in usable.sort("item_id", "text").toLocalIterator():
         length = len(words(text))
         if length < n:
             continue
+        total += length
+        if total > MOST_WORDS:
+            raise ValueError(f"more than {MOST_WORDS} words of evaluation text; search for parts of it")
         if part and size + length > PHRASE_WORDS:
             slices.append(spark.sparkContext.broadcast(part))
             part, size = [], 0
         part.append((item, text))
         size += length
     slices.append(spark.sparkContext.broadcast(part))
-    found = None
-    for one in slices:
-        spans = corpus.mapInArrow(_searcher(one, n), "doc_id bigint, item_id bigint, first_word bigint, end_word bigint")
-        found = spans if found is None else found.unionByName(spans)
-    return found.distinct()
+    return corpus.mapInArrow(_searcher(slices, n), "doc_id bigint, item_id bigint, first_word bigint, end_word bigint").distinct()
 
 
 def removal_spans(documents: DataFrame, items: DataFrame, n: int = WORDS) -> DataFrame:
-    """Per document the word ranges to remove, merged over all items: doc_id, first_word, end_word."""
-    spans = leaked_spans(documents, items, n)
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_word", "end_word"])
-        reach = pdf.end_word.cummax().shift(fill_value=-1)
-        run = (pdf.first_word > reach).cumsum()
-        out = pdf.groupby(run).agg(first_word=("first_word", "min"), end_word=("end_word", "max"))
-        out.insert(0, "doc_id", pdf.doc_id.iloc[0])
-        return out
-
-    # a group is one document's spans, at most one for each item and place in it
-    return spans.groupBy("doc_id").applyInPandas(merge, "doc_id bigint, first_word bigint, end_word bigint")
+    """Per document the word ranges to remove, merged over all items: doc_id, first_word, end_word.
+
+    A range begins where no earlier span of the document reaches; touching ones
+    are one. A window holds one document's spans.
+    """
+    spans = leaked_spans(documents, items, n).select("doc_id", "first_word", "end_word").distinct()
+    order = Window.partitionBy("doc_id").orderBy("first_word", "end_word")
+    reach = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = spans.withColumn("begins", F.coalesce(F.col("first_word") > reach, F.lit(True)).cast("int"))
+    runs = begins.withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "run").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word")).drop("run")

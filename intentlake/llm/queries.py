@@ -17,6 +17,24 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("n_pieces > 1").select("chunk_id").distinct()
 
 
+def p1_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces of every chunk that is cut: within its size, overlapping as wanted (less only where a piece is too short), one after the other, whole."""
+    chunks, params = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "index_params")
+    limits = params.select("repo", F.coalesce("chunk_size", F.lit(1500)).alias("size"), F.coalesce("overlap_chars", F.lit(0)).alias("overlap"))
+    texts = chunks.groupBy("chunk_id").agg(F.min(F.struct("repo", F.length("content").alias("n"), "start_line")).alias("c")).select("chunk_id", "c.*").join(limits, "repo", "left")
+    piece = F.struct("piece_no", "char_start", "char_end", F.length("content").alias("n"), "start_line", "end_line", (F.length("content") - F.length(F.replace("content", F.lit("\n"))) - F.endswith("content", F.lit("\n")).cast("int")).alias("breaks"))
+    pieces = splitting.split_oversized(chunks, params).groupBy("chunk_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    joined = pieces.join(texts, "chunk_id").withColumns({"size": F.coalesce("size", F.lit(1500)), "overlap": F.coalesce("overlap", F.lit(0))})
+    follows = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda a, b: a["char_end"] - b["char_start"] == F.least("overlap", F.col("size") - 1))
+    return joined.select(
+        "chunk_id",
+        F.forall("p", lambda x: (x["n"] <= F.col("size")) & (x["n"] == x["char_end"] - x["char_start"])).alias("within_size"),
+        F.forall(follows, lambda x: x).alias("overlap_kept"),
+        ((F.col("p")[0]["char_start"] == 0) & (F.element_at("p", -1)["char_end"] == F.col("n"))).alias("whole"),
+        F.forall("p", lambda x: x["end_line"] - x["start_line"] == x["breaks"]).alias("lines_fit"),
+    )
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.check_files(table(spark, sf_dir, "source_files")).where("n_errors > 0").select("file_id").distinct()
 
@@ -95,12 +113,27 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p1_found, p1_pieces, p2_found, p2_errors, p2_rates, p3_found, p3_groups, p4_found, p4_neighbours, p4_recall, p5_found, p5_features, p6_found, p6_removals, p7_found, p7_shares, p7_repeats, p7_temperature, p8_found, p8_scores]
+    own = [p1_found, p1_pieces, p1_checks, p2_found, p2_errors, p2_rates, p3_found, p3_groups, p4_found, p4_neighbours, p4_recall, p5_found, p5_features, p6_found, p6_removals, p7_found, p7_shares, p7_repeats, p7_temperature, p8_found, p8_scores]
     return {f.__name__: f for f in own}
 
 
 _C = "c AS (SELECT DISTINCT ON (chunk_id) * FROM chunks)"
+_LONG = "length(content) > coalesce(p.chunk_size, 1500)"
+_HITS = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        v AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+        d AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: {'pos': i - 1, 'g': array_to_string(w[i:i + 11], ' ')})) AS s FROM w WHERE len(w) >= 12),
+        e AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM v WHERE len(w) >= 12)"""
 SQL = {
+    "p1_checks": f"WITH {_C} SELECT chunk_id, true AS within_size, true AS overlap_kept, true AS whole, true AS lines_fit FROM c LEFT JOIN index_params p USING (repo) WHERE {_LONG}",
+    "p4_found": """WITH d AS (SELECT DISTINCT ON (vec_id) vec_id, embedding::DOUBLE[64] AS e FROM chunk_vectors WHERE len(embedding) = 64),
+        v AS (SELECT vec_id, e FROM d WHERE list_sum(list_transform(e::DOUBLE[], lambda x: x * x)) > 0),
+        s AS (SELECT a.vec_id AS a, b.vec_id AS b, array_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+        k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) <= 5)
+        SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM k WHERE sim >= 0.85""",
+    "p6_removals": f"""WITH {_HITS}, h AS (SELECT DISTINCT doc_id, s.pos AS pos FROM d JOIN e ON d.s.g = e.g),
+        b AS (SELECT *, (pos > coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), -100) + 12)::INT AS begins FROM h),
+        r AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM b)
+        SELECT doc_id, min(pos) AS first_word, max(pos) + 12 AS end_word FROM r GROUP BY doc_id, run""",
     "p1_found": f"WITH {_C} SELECT chunk_id FROM c LEFT JOIN index_params p USING (repo) WHERE length(content) > coalesce(p.chunk_size, 1500)",
     "p3_found": f"""WITH {_C}, t AS (SELECT chunk_id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM c WHERE content IS NOT NULL),
         s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t WHERE len(w) >= 40),

@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from intentlake.llm import leakage
-from intentlake.llm.leakage import FMIndex, Phrases, WaveletMatrix, leaked_spans, removal_spans, suffix_array, words
+from intentlake.llm.leakage import FMIndex, Phrases, Shard, WaveletMatrix, leaked_spans, removal_spans, suffix_array, words
 
 
 @settings(max_examples=60, deadline=None)
@@ -93,6 +94,15 @@ def test_no_documents_and_no_items(spark):
 
 
 def test_touching_runs_are_one_span():
-    p = Phrases([(1, " ".join(f"a{i}" for i in range(30)))], 12)
+    symbols = {}
+    p = Phrases([(1, " ".join(f"a{i}" for i in range(30)))], symbols, 12)
     text = [f"a{i}" for i in range(20)] + ["x"] + [f"a{i}" for i in range(12)]
-    assert list(p.find([(7, text)])) == [(7, 1, 0, 20), (7, 1, 21, 33)]
+    assert list(p.find(Shard([(7, text)], symbols))) == [(7, 1, 0, 20), (7, 1, 21, 33)]
+
+
+def test_too_many_evaluation_texts(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "MOST_WORDS", 20)
+    d = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    e = spark.createDataFrame([(i, " ".join(f"w{i}_{j} x" for j in range(8))) for i in range(3)], "item_id bigint, text string")
+    with pytest.raises(ValueError, match="more than 20 words"):
+        leaked_spans(d, e)
