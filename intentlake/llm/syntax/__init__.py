@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-import sys
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +10,7 @@ from pyspark.sql import functions as F
 
 from intentlake.llm.syntax.base import Parser, SyntaxIssue
 from intentlake.llm.syntax.cfamily import CParser, JavaParser
-from intentlake.llm.syntax.data import JsonParser, TomlParser
+from intentlake.llm.syntax.data import JsonParser, TomlParser, repeated_keys
 from intentlake.llm.syntax.go import CLOSERS, GoParser
 from intentlake.llm.syntax.python import PythonParser
 from intentlake.llm.syntax.ruby import RubyParser, prepare
@@ -41,7 +38,6 @@ class Reader:
 
     def __init__(self) -> None:
         self.parsers = {name: parser() for name, parser in PARSERS.values()}
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
 
     def issues(self, source: str, language: str) -> tuple[list[SyntaxIssue], list[int]]:
         """All errors in order of their place, and the line of each."""
@@ -52,10 +48,10 @@ class Reader:
         tokens = parser.pattern.findall(source)
         if language == "python":
             found = parser.parse_tokens(tokens)
-            if found and valid_python(source):
-                found = []
         elif parser.line_ends:
             found = parser.parse("".join("\n" if t[0] == "\n" else parser.kinds[t] for t in tokens))
+            if language == "toml" and not found:
+                found = repeated_keys(tokens)
         else:
             found = parser.parse("".join(map(parser.kinds.__getitem__, tokens)))
         return found, self.line_numbers(parser, language, source, tokens, found) if found else []
@@ -81,17 +77,6 @@ class Reader:
         return [source.count("\n", 0, starts[min(x.token, len(starts) - 1)]) + 1 if starts else 1 for x in found]
 
 
-def valid_python(source: str) -> bool:
-    """An exact check, asked only about texts in which the parser has found an error."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(source)
-        return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
-
-
 SCHEMA = pa.schema([("file_id", pa.int64()), ("repo", pa.string()), ("language", pa.string()), ("n_errors", pa.int64()), ("first_line", pa.int64()), ("first_cause", pa.string()), ("errors", pa.list_(pa.string()))])
 DDL = "file_id bigint, repo string, language string, n_errors bigint, first_line bigint, first_cause string, errors array<string>"
 

@@ -9,9 +9,13 @@ a rule has accepted as a whole, so that it descends into each shape once.
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 from itertools import accumulate
 
+BRACKET = re.compile(r"[()\[\]{}]")
+#: Calls that a rule may nest for each token. Calls between Python functions take heap, not stack, so the bound only has to be high enough.
+CALLS = 40
 NAME, NUMBER, STRING, ERROR, END, LINE = "a", "0", '"', "\x00", "\x03", "\n"
 #: Shapes remembered by one parser, and kinds of words by one lexer; beyond, the memory starts afresh.
 MEMORY = 200_000
@@ -86,8 +90,8 @@ class Parser:
     prefix: frozenset[str] = frozenset()
     #: Whether line ends are tokens.
     line_ends = False
-    #: A simple statement: up to the next semicolon, without braces.
-    simple = re.compile(r"[^;{}]*;")
+    #: A simple statement: up to the next semicolon, without braces; longer ones are read anew each time.
+    simple = re.compile(r"[^;{}]{0,400};")
 
     def __init__(self) -> None:
         self.known: set = set()
@@ -96,6 +100,7 @@ class Parser:
         self.k = kinds + END * 4
         self.i = 0
         self.issues: list[SyntaxIssue] = []
+        self.closers: dict[int, int] | None = None
 
     # tokens
 
@@ -114,18 +119,16 @@ class Parser:
         self.i += 1
 
     def closing(self, at: int) -> int:
-        """Place of the bracket that closes the one at `at`, or -1."""
-        depth = 0
-        k = self.k
-        for i in range(at, len(k)):
-            c = k[i]
-            if c in "([{":
-                depth += 1
-            elif c in ")]}":
-                depth -= 1
-                if not depth:
-                    return i
-        return -1
+        """Place of the bracket that closes the one at `at`, or -1; all brackets are paired once."""
+        if self.closers is None:
+            self.closers = {}
+            held: list[int] = []
+            for m in BRACKET.finditer(self.k):
+                if m[0] in "([{":
+                    held.append(m.start())
+                elif held:
+                    self.closers[held.pop()] = m.start()
+        return self.closers.get(at, -1)
 
     def tree(self) -> None:
         """Skip one bracketed group, its brackets paired."""
@@ -242,7 +245,13 @@ class Parser:
     def unit(self) -> None:
         raise NotImplementedError
 
+    @staticmethod
+    def deepen(kinds: str) -> None:
+        """Let the rules call each other as deeply as the text may be nested."""
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000 + CALLS * len(kinds)))
+
     def parse(self, kinds: str) -> list[SyntaxIssue]:
+        self.deepen(kinds)
         self.start(kinds)
         while True:
             at = self.i
@@ -255,9 +264,6 @@ class Parser:
                     break
                 if self.i == at:
                     self.i += 1
-            except RecursionError:
-                self.issues.append(SyntaxIssue(self.i, "nested too deep to read"))
-                break
         return sorted(set(self.issues), key=lambda x: (x.token, x.why))
 
 

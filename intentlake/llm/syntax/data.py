@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from intentlake.llm.syntax.base import END, ERROR, LINE, NAME, NUMBER, STRING, Kinds, Parser
+from intentlake.llm.syntax.base import END, ERROR, LINE, NAME, NUMBER, STRING, Kinds, Parser, SyntaxIssue
 
 JSON_STRING = r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[\da-fA-F]{4}))*"'
 PUNCTUATION = {c: c for c in "{}[]:,=."}
@@ -30,32 +30,40 @@ class JsonParser(Parser):
             self.fail("expected the end of the text")
 
     def value(self) -> None:
-        c = self.k[self.i]
-        if c in (STRING, NUMBER):
-            self.i += 1
-        elif c in "[{":
-            quick = self.flat.match(self.k, self.i + 1)
-            shape = c + quick[0] if quick else ""
-            if shape in self.known:
-                self.i = quick.end()
-                return
-            self.i += 1
-            close = "]" if c == "[" else "}"
-            if self.k[self.i] == close:
+        """One value; the brackets that are open lie on a stack of our own."""
+        held: list[tuple[str, re.Match | None]] = []
+        while True:
+            c = self.k[self.i]
+            if c in (STRING, NUMBER):
                 self.i += 1
+            elif c in "[{":
+                quick = self.flat.match(self.k, self.i + 1)
+                if quick and c + quick[0] in self.known:
+                    self.i = quick.end()
+                else:
+                    self.i += 1
+                    if not self.eat("]" if c == "[" else "}"):
+                        held.append((c, quick))
+                        self.key(c)
+                        continue
             else:
-                while True:
-                    if c == "{":
-                        self.need(STRING, "a key")
-                        self.need(":", ":")
-                    self.value()
-                    if not self.eat(","):
-                        break
-                self.need(close, "a closing bracket")
-            if quick and self.i == quick.end():
-                self.known.add(shape)
-        else:
-            self.fail("expected a value")
+                self.fail("expected a value")
+            while held:  # behind a value
+                c, quick = held[-1]
+                if self.eat(","):
+                    self.key(c)
+                    break
+                self.need("]" if c == "[" else "}", "a closing bracket")
+                if quick and self.i == quick.end() and len(quick[0]) < 10_000:
+                    self.known.add(c + quick[0])
+                held.pop()
+            else:
+                return
+
+    def key(self, bracket: str) -> None:
+        if bracket == "{":
+            self.need(STRING, "a key")
+            self.need(":", ":")
 
 
 TOML_VALUE = (
@@ -159,3 +167,51 @@ class TomlParser(Parser):
             self.need("}", "}")
         else:
             self.fail("expected a value")
+
+
+def repeated_keys(tokens: list[str]) -> list[SyntaxIssue]:
+    """Keys and tables that a TOML text, valid otherwise, defines twice."""
+    issues: list[SyntaxIssue] = []
+    seen: dict[tuple[str, ...], str] = {}
+    current: tuple[str, ...] = ()
+    line: list[str] = []
+    depth = first = place = 0
+
+    def path(parts: list[str]) -> tuple[str, ...]:
+        names: list[str] = []
+        for t in parts:
+            names += [t[1:-1]] if t[0] in "\"'" else [x for x in t.split(".") if x]
+        return tuple(names)
+
+    def define(names: tuple[str, ...], kind: str, begin: int) -> None:
+        """`kind` is value, table or array; what leads there becomes a table without a header of its own."""
+        for i in range(begin, len(names)):
+            if seen.setdefault(names[:i], "open") == "value":
+                issues.append(SyntaxIssue(first, "a value is no table"))
+                return
+        held = seen.get(names)
+        if held and (held, kind) not in {("open", "table"), ("array", "array")}:
+            issues.append(SyntaxIssue(first, "defined twice"))
+        seen[names] = kind
+
+    for t in [*tokens, "\n"]:
+        place += t[0] != "#" and t[0] != "\n"
+        if t[0] == "#":
+            continue
+        if t[0] != "\n" or depth:
+            if not line:
+                first = place - 1
+            depth += (t in "[{") - (t in "]}") if len(t) == 1 else 0
+            line.append(t)
+            continue
+        if line and line[0] == "[":
+            double = len(line) > 1 and line[1] == "["
+            current = path([x for x in line if x not in "[]"])
+            if double:
+                for names in [n for n in seen if len(n) > len(current) and n[: len(current)] == current]:
+                    del seen[names]
+            define(current, "array" if double else "table", 1)
+        elif line:
+            define(current + path(line[: line.index("=")]), "value", len(current) + 1)
+        line = []
+    return issues

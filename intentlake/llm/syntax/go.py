@@ -296,6 +296,8 @@ class GoParser(Parser):
         if self.k[self.i] == "{":
             self.fail("expected a condition")
         self.header()
+        if self.k[self.i - 1] == ";":
+            self.fail("expected a condition")
         self.block()
         if self.eat(G("else")):
             if self.k[self.i] == G("if"):

@@ -12,10 +12,16 @@ P = Alphabet(
     "( ) { } [ ] ; , . : = + - * / % < > & | ^ ~ @ == != <= >= ** // << >> -> := ... += -= *= /= //= %= @= &= |= ^= >>= <<= **=",
 )
 
+#: Strings with fields in which the same quotes stand again.
+NESTED = "|".join(rf"(?:[fF][rR]?|[rR][fF]){q}(?:[^{q}\\\n{{]|\\.|\{{\{{|\{{(?:[^{{}}{q}\n]|{q}[^{q}\n]*{q}|\{{[^{{}}\n]*\}})*\}})*{q}(?!{q})" for q in "'\"")
+NO_TARGET = frozenset(P("not lambda True False None if else await yield for := { + - ~"))
+#: Kinds of names that are keywords where a line begins with them.
+SOFT = {"match": "\ue3f0", "case": "\ue3f1"}
+
 
 class PythonParser(Parser):
     pattern = re.compile(
-        r"[ \t\f\r]*((?:[rR][bBfF]?|[bBfF][rR]?|[uU])?(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\(?:\r\n|.))*\"|'(?:[^'\\\n]|\\(?:\r\n|.))*')|[^\W\d]\w*|\n[ \t\f]*|[(){};,\[\].]|\#[^\n]*|\\\r?\n|\.?\d(?:[eE][+-]\d|\w|\.(?!\.))*|\.\.\.|\*\*=|//=|<<=|>>=|\*\*|//|->|:=|<<|>>|[=!<>+\-*/%&|^@]=|\S)",
+        rf"[ \t\f\r]*({NESTED}|(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\(?:\r\n|.))*\"|'(?:[^'\\\n]|\\(?:\r\n|.))*')|[^\W\d]\w*|\n[ \t\f]*|\.\.\.|\.?\d(?:[eE][+-]\d|(?!(?:if|else|and|or|in|is|not|for)\b)\w|\.(?!\.))*|[(){{}};,\[\].]|\#[^\n]*|\\\r?\n|\*\*=|//=|<<=|>>=|\*\*|//|->|:=|<<|>>|[=!<>+\-*/%&|^@]=|\S)",
         re.DOTALL,
     )
     kinds = Kinds(
@@ -50,6 +56,7 @@ class PythonParser(Parser):
                 continue
             if not current:
                 first = at
+                c = SOFT.get(t, c)
             if c in "([{":
                 depth += 1
             elif c in ")]}" and depth:
@@ -111,16 +118,22 @@ class PythonParser(Parser):
 
     def line(self, kinds: str) -> str:
         """'simple', the keyword of a header, 'inline ' and the keyword, or '!' and an error."""
+        self.deepen(kinds)
         self.start(kinds)
         try:
             return self.logical_line()
         except Failure as e:
             return "!" + e.why
-        except RecursionError:
-            return "!nested too deep to read"
 
     def logical_line(self) -> str:
         c = self.k[self.i]
+        if c in SOFT.values():
+            # match and case are names elsewhere
+            plain = NAME + self.k[1:]
+            self.k = plain if c == SOFT["match"] else plain.replace(P("as") + NAME, "")
+            if self.attempt(self.match_header if c == SOFT["match"] else self.case_header):
+                return self.soft
+            self.k, self.i, c = plain, 0, NAME
         if c == "@":
             self.i += 1
             self.named()
@@ -177,10 +190,6 @@ class PythonParser(Parser):
             self.type_parameters()
             if self.eat("("):
                 self.arguments()
-        elif c == NAME and self.k[len(self.k) - 5] == ":" and self.k[self.i + 1] not in ":=.,)" and self.k[self.i + 1] != END:
-            # match and case are names elsewhere
-            if self.attempt(self.soft_header):
-                return "match" if self.subject else "case"
         if not head:
             self.simple_statements()
             return "simple"
@@ -190,26 +199,30 @@ class PythonParser(Parser):
         self.simple_statements()
         return "inline " + head
 
-    def soft_header(self) -> None:
+    soft = ""
+
+    def match_header(self) -> None:
         self.i += 1
-        self.subject = False
-        at = self.i
-        self.attempt(self.case_pattern)
-        if self.k[self.i : self.i + 2] != ":" + END:
-            self.i = at
-            self.star_expressions()
+        self.star_expressions()
         self.need(":", ":")
-        if self.k[self.i] != END:
-            self.fail("expected a line end")
-
-    subject = False
+        self.finish()
+        self.soft = "match"
 
-    def case_pattern(self) -> None:
-        self.star_expressions()
-        if self.eat(P("as")):
-            self.need(NAME, "a name")
+    def case_header(self) -> None:
+        """A pattern is read as the expression it looks like, its captures left out."""
+        self.i += 1
+        self.guarded = True
+        try:
+            self.star_expressions()
+        finally:
+            self.guarded = False
         if self.eat(P("if")):
             self.named()
+        self.need(":", ":")
+        self.soft = "case"
+        if self.k[self.i] != END:
+            self.simple_statements()
+            self.soft = "inline case"
 
     def finish(self) -> None:
         if self.k[self.i] != END:
@@ -262,7 +275,14 @@ class PythonParser(Parser):
                 self.need(NAME, "a name")
         elif c == P("del"):
             self.i += 1
-            self.targets()
+            while self.k[self.i] not in ";" + END:
+                at = self.i
+                self.target()
+                self.assignable(at)
+                if not self.eat(","):
+                    break
+            if self.k[self.i - 1] == c:
+                self.fail("expected a target")
         elif c == P("assert"):
             self.i += 1
             self.test()
@@ -302,13 +322,13 @@ class PythonParser(Parser):
             self.star_expressions()
             c = self.k[self.i]
             if c == ":":
-                self.assignable(at)
+                self.assignable(at, True)
                 self.i += 1
                 self.test()
                 if self.eat("="):
                     self.star_expressions()
             elif c in self.augmented:
-                self.assignable(at)
+                self.assignable(at, True)
                 self.i += 1
                 self.star_expressions()
             else:
@@ -318,13 +338,23 @@ class PythonParser(Parser):
                     at = self.i
                     self.star_expressions()
 
-    def assignable(self, at: int) -> None:
-        """Whether what began at `at` may stand left of =; calls, constants and operations may not."""
-        text = self.k[at : self.i]
-        plain = re.sub(r"\([^()]*\)|\[[^\[\]]*\]", "", text)
-        wrong = text[0] in (NUMBER, STRING) and len(text) == 1 or text[0] not in "([" and text[-1] == ")" or any(c in self.binary and c != "*" for c in plain) or text[0] in P("not lambda True False None")
-        if wrong:
-            self.fail("cannot assign to this")
+    def assignable(self, at: int, single: bool = False) -> None:
+        """Whether what began at `at` may stand left of =; calls, constants and operations may not, nor several where one is meant."""
+        parts, depth = [[]], 0
+        for k in self.k[at : self.i]:
+            depth -= k in ")]}"
+            if not depth and k == ",":
+                parts.append([])
+            elif not depth and k not in ")]}":
+                parts[-1].append(k)
+            depth += k in "([{"
+        if single and len(parts) > 1:
+            self.fail("cannot assign to several here")
+        for part in parts if parts[-1] else parts[:-1]:
+            part = part[1:] if part[:1] == ["*"] and not single else part
+            last = part[-1] if part else END
+            if not (last in (NAME, "[") or part == ["("]) or any(c in self.binary or c in NO_TARGET for c in part):
+                self.fail("cannot assign to this")
 
     def dotted(self) -> None:
         self.need(NAME, "a name")
@@ -509,15 +539,36 @@ class PythonParser(Parser):
         self.test()
 
     def arguments(self) -> None:
+        """Arguments up to the bracket: none by its place behind a named one, no * behind **, a bare comprehension alone."""
+        named = unpacked = False
+        number = 0
         while not self.eat(")"):
-            if self.eat(P("**")) or self.eat("*"):
+            number += 1
+            if self.eat(P("**")):
+                unpacked = True
+                self.test()
+            elif self.eat("*"):
+                if unpacked:
+                    self.fail("* behind **")
                 self.test()
             else:
+                at = self.i
                 self.named()
-                if self.eat("="):
+                if self.k[self.i] == "=":
+                    if self.i - at != 1 or self.k[at] != NAME:
+                        self.fail("expected the name of an argument")
+                    self.i += 1
+                    named = True
                     self.test()
+                elif named or unpacked:
+                    self.fail("an argument without a name behind one with a name")
                 elif self.k[self.i] in P("for async"):
+                    if number > 1:
+                        self.fail("a comprehension among arguments needs brackets")
                     self.comprehension()
+                    if self.eat(",") and self.k[self.i] != ")":
+                        self.fail("a comprehension among arguments needs brackets")
+                    continue
             if not self.eat(","):
                 self.need(")", ")")
                 return

@@ -62,7 +62,7 @@ class RubyParser(Parser):
     binary = binary_levels(B, ".. ...", "||", "&&", "<=> == === != =~ !~", "< <= > >=", "| ^", "&", "<< >>", "+ -", "* / %", "**")
     right = frozenset(B("**"))
     prefix = frozenset(B("! - + ~ & * **"))
-    simple = re.compile(r"[^;{}\n]*\n")
+    simple = re.compile(r"[^;{}\n]{0,400}\n")
 
     def start(self, kinds: str) -> None:
         kinds = LEADING.sub("", GOES_ON.sub(r"\1", kinds))

@@ -43,18 +43,28 @@ class ScriptParser(Parser):
         plain, self.after_line = without_lines(kinds)
         super().start(plain)
         self.no_in = False
-        self.functions = 0
+        self.functions = self.loops = self.switches = 0
 
     def statements(self, rule, close: str) -> None:
-        # what a function may hold besides (return) is remembered apart
-        self.known = self.inside if self.functions else self.outside
+        self.remember()
         super().statements(rule, close)
-        self.known = self.inside if self.functions else self.outside
+        self.remember()
 
     def __init__(self) -> None:
         super().__init__()
-        self.inside: set = set()
-        self.outside: set = set()
+        self.memory: dict[tuple[bool, bool, bool], set] = {}
+
+    def remember(self) -> None:
+        """What a function, a loop or a switch may hold besides (return, continue, break) is remembered apart."""
+        self.known = self.memory.setdefault((self.functions > 0, self.loops > 0, self.switches > 0), set())
+
+    def repeated_statement(self) -> None:
+        self.loops += 1
+        try:
+            self.statement()
+        finally:
+            self.loops -= 1
+            self.remember()
 
     def newline(self) -> bool:
         return self.i in self.after_line
@@ -198,12 +208,14 @@ class ScriptParser(Parser):
         self.i += 1
 
     def body(self) -> None:
+        saved, self.loops, self.switches = (self.loops, self.switches), 0, 0
         self.functions += 1
         try:
             self.block()
         finally:
             self.functions -= 1
-            self.known = self.inside if self.functions else self.outside
+            self.loops, self.switches = saved
+            self.remember()
 
     def parenthesis(self) -> None:
         self.need("(", "(")
@@ -241,10 +253,10 @@ class ScriptParser(Parser):
         elif c == S("while"):
             self.i += 1
             self.parenthesis()
-            self.statement()
+            self.repeated_statement()
         elif c == S("do"):
             self.i += 1
-            self.statement()
+            self.repeated_statement()
             self.need(S("while"), "while")
             self.parenthesis()
             self.eat(";")
@@ -265,6 +277,8 @@ class ScriptParser(Parser):
             self.i += 1
             if self.k[self.i] in NAMES and not self.newline():
                 self.i += 1
+            elif not self.loops and not (c == S("break") and self.switches):
+                self.fail("outside of a loop")
             self.end_statement()
         elif c == S("try"):
             self.i += 1
@@ -286,15 +300,12 @@ class ScriptParser(Parser):
             self.i += 1
             self.parenthesis()
             self.need("{", "{")
-            while not self.eat("}"):
-                if not self.eat(S("default")):
-                    self.need(S("case"), "case")
-                    self.comma_expression()
-                self.need(":", ":")
-                while self.k[self.i] not in "}" + S("case default"):
-                    if self.k[self.i] == END:
-                        self.fail("the text ends inside a switch")
-                    self.statement()
+            self.switches += 1
+            try:
+                self.cases()
+            finally:
+                self.switches -= 1
+                self.remember()
         elif c == S("debugger"):
             self.i += 1
             self.end_statement()
@@ -307,6 +318,17 @@ class ScriptParser(Parser):
             self.comma_expression()
             self.end_statement()
 
+    def cases(self) -> None:
+        while not self.eat("}"):
+            if not self.eat(S("default")):
+                self.need(S("case"), "case")
+                self.comma_expression()
+            self.need(":", ":")
+            while self.k[self.i] not in "}" + S("case default"):
+                if self.k[self.i] == END:
+                    self.fail("the text ends inside a switch")
+                self.statement()
+
     def variables(self) -> None:
         constant = self.k[self.i] == S("const")
         self.i += 1
@@ -368,8 +390,9 @@ class ScriptParser(Parser):
                 self.comma_expression()
         finally:
             self.no_in = saved
-        if self.k[self.i] in S("of in"):
-            self.i += 1
+        if self.eat(S("of")):
+            self.assignment()
+        elif self.eat(S("in")):
             self.comma_expression()
         else:
             self.need(";", ";")
@@ -379,7 +402,7 @@ class ScriptParser(Parser):
             if self.k[self.i] != ")":
                 self.comma_expression()
         self.need(")", ")")
-        self.statement()
+        self.repeated_statement()
 
     def function(self, named: bool, signature: bool = False) -> None:
         self.eat(S("async"))
@@ -627,6 +650,8 @@ class ScriptParser(Parser):
         elif c == S("new"):
             self.i += 1
             if self.eat("."):
+                if not self.functions:
+                    self.fail("new.target outside of a function")
                 self.word()
             else:
                 self.operand_without_call()
@@ -720,6 +745,9 @@ class ScriptParser(Parser):
             elif c == STRING and not self.newline():
                 self.i += 1  # a tagged template
             elif c in S("++ --") and not self.newline():
+                last, before = self.k[self.i - 1], self.k[self.i - 2] if self.i > 1 else END
+                if before not in ("." + S("?.")) and (last in (NUMBER, STRING, "}") or last in S("this null true false super")):
+                    self.fail("cannot count this up or down")
                 self.i += 1
                 return
             elif self.typed and c == "!" and not self.newline():

@@ -3,6 +3,7 @@
 import ast
 import json
 import random
+import time
 
 import pytest
 
@@ -147,3 +148,54 @@ def test_verdicts_do_not_depend_on_what_was_read_before(language, first, second)
     reader = Reader()
     assert reader.issues(first, language)[0] == []
     assert reader.issues(second, language)[0] and reader.issues(second, language)[0] == Reader().issues(second, language)[0]
+
+
+DEEP = 50_000
+NESTED = {
+    "json": ("[" * DEEP, "]" * DEEP),
+    "toml": ("x = " + "[" * DEEP, "]" * DEEP + "\n"),
+    "python": ("x = " + "(" * DEEP + "1", ")" * DEEP + "\n"),
+    "ruby": ("x = " + "(" * DEEP + "1", ")" * DEEP + "\n"),
+    "javascript": ("x = " + "(" * DEEP + "1", ")" * DEEP + ";"),
+    "typescript": ("x = " + "(" * DEEP + "1", ")" * DEEP + ";"),
+    "go": ("package a\nvar x = " + "(" * DEEP + "1", ")" * DEEP + "\n"),
+    "rust": ("fn f() { let x = " + "(" * DEEP + "1", ")" * DEEP + "; }"),
+    "java": ("class A { int x = " + "(" * DEEP + "1", ")" * DEEP + "; }"),
+    "c": ("int x = " + "(" * DEEP + "1", ")" * DEEP + ";"),
+}
+
+
+@pytest.mark.parametrize("language", sorted(NESTED))
+def test_depth_is_no_error_and_takes_linear_time(language):
+    before, after = NESTED[language]
+    began = time.perf_counter()
+    assert Reader().issues(before + after, language)[0] == []
+    assert Reader().issues(before + after.replace(")", "", 1).replace("]", "", 1), language)[0]
+    assert time.perf_counter() - began < 15
+
+
+@pytest.mark.parametrize(
+    "language, source",
+    [
+        ("python", "f(a=1, 2)\n"), ("python", "f(**a, *b)\n"), ("python", "f(x for x in y, 1)\n"), ("python", "f(1=2)\n"), ("python", "del f()\n"), ("python", "a[1] + 2 = 3\n"),
+        ("toml", "a = 1\na = 2\n"), ("toml", "[a]\n[a]\n"), ("toml", "a.b = 1\n[a.b]\n"), ("toml", "a = 1\na.b = 2\n"), ("toml", "[[a]]\n[a]\n"),
+        ("javascript", "1++"), ("javascript", "for (let i of a, b) {}"), ("javascript", "break;"), ("javascript", "for (;;) { (() => { break })() }"), ("javascript", "switch (a) { case 1: continue }"), ("javascript", "new.target"),
+        ("go", "package a\nfunc f() {\n\tif x\n\t{\n\t}\n}\n"),
+    ],
+)
+def test_early_errors(language, source):
+    assert Reader().issues(source, language)[0]
+
+
+@pytest.mark.parametrize(
+    "language, source",
+    [
+        ("python", "match x:\n    case (A() as a, b) | [1, *_]: pass\n    case {'k': v} if v:\n        pass\nmatch[1] = case\nmatch: int = 1\nmatch(x)\ncase = match if x else y\n"),
+        ("python", "f(*a, b, *c, d=1, *g, **e)\ndel a, b[1], (c.d, e)\na[b[c] + 1] = 2\nf(x for x in y)\n"),
+        ("toml", 'a.b = 1\na.c = 2\n[x]\na = 1\n[[y]]\na = 1\n[y.z]\nq = 1\n[[y]]\na = 1\n[y.z]\nq = 1\n[m.n.o]\n[m.n]\n["m x"]\n'),
+        ("javascript", "a++; a.b++; a[1]--; (a)++; a.true++; l: { break l }\nfor (;;) { if (x) break; else continue }\nswitch (x) { case 1: break; default: for (;;) continue }\nfunction f() { return new.target }"),
+        ("go", "package a\nfunc f() {\n\tif x := g(); x {\n\t}\n}\n"),
+    ],
+)
+def test_what_is_no_early_error(language, source):
+    assert Reader().issues(source, language)[0] == []
