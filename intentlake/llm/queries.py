@@ -118,6 +118,10 @@ def queries() -> dict:
 
 
 _C = "c AS (SELECT DISTINCT ON (chunk_id) * FROM chunks)"
+_PAIRS = """t AS (SELECT chunk_id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM c WHERE content IS NOT NULL),
+        s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t WHERE len(w) >= 40),
+        n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT x.chunk_id AS chunk_a, y.chunk_id AS chunk_b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.chunk_id < y.chunk_id GROUP BY 1, 2)"""
 _LONG = "length(content) > coalesce(p.chunk_size, 1500)"
 _HITS = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
         v AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
@@ -135,11 +139,17 @@ SQL = {
         r AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM b)
         SELECT doc_id, min(pos) AS first_word, max(pos) + 12 AS end_word FROM r GROUP BY doc_id, run""",
     "p1_found": f"WITH {_C} SELECT chunk_id FROM c LEFT JOIN index_params p USING (repo) WHERE length(content) > coalesce(p.chunk_size, 1500)",
-    "p3_found": f"""WITH {_C}, t AS (SELECT chunk_id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM c WHERE content IS NOT NULL),
-        s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t WHERE len(w) >= 40),
-        n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
-        p AS (SELECT x.chunk_id AS chunk_a, y.chunk_id AS chunk_b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.chunk_id < y.chunk_id GROUP BY 1, 2)
-        SELECT chunk_a, chunk_b FROM p JOIN n a ON a.chunk_id = chunk_a JOIN n b ON b.chunk_id = chunk_b WHERE shared >= 0.6 * (a.n + b.n - shared)""",
+    "p3_found": f"WITH {_C}, {_PAIRS} SELECT chunk_a, chunk_b FROM p JOIN n a ON a.chunk_id = chunk_a JOIN n b ON b.chunk_id = chunk_b WHERE shared >= 0.6 * (a.n + b.n - shared)",
+    "p3_groups": f"""WITH RECURSIVE {_C}, {_PAIRS},
+        x AS (SELECT chunk_a, chunk_b FROM p JOIN n a ON a.chunk_id = chunk_a JOIN n b ON b.chunk_id = chunk_b WHERE shared >= 0.6 * (a.n + b.n - shared)),
+        k AS (SELECT chunk_id, list_sort(list(g)) AS key FROM s GROUP BY chunk_id),
+        m AS (SELECT chunk_id, min(chunk_id) OVER (PARTITION BY key) AS class_id FROM k),
+        l AS (SELECT DISTINCT a.class_id AS a, b.class_id AS b FROM x JOIN m a ON a.chunk_id = chunk_a JOIN m b ON b.chunk_id = chunk_b WHERE a.class_id <> b.class_id),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT DISTINCT class_id AS node, class_id AS root FROM m UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+        o AS (SELECT node, min(root) AS group_id FROM r GROUP BY node),
+        d AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+        SELECT chunk_id, class_id, group_id, coalesce(links, 0) AS links FROM m JOIN o ON o.node = class_id LEFT JOIN d ON d.a = class_id""",
     "p6_found": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
         v AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
         d AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM w WHERE len(w) >= 12),
