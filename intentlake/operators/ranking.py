@@ -184,13 +184,17 @@ def hybrid_search(rows: DataFrame, query: list[float], query_text: str, top_k: i
 
     rows: keys, vector, symbols, content, start_line, further columns. Where
     content and start_line lie in a table of their own (keys, content,
-    start_line, further columns), they are fetched for the best rows only. A
-    top_k of 0 has an empty pool and so no results.
+    start_line, further columns), they are fetched for the best rows only; of
+    rows that come again, told by loaded_at, the latest. A top_k of 0 has an
+    empty pool and so no results.
     """
     pool = cosine_topk(rows, query, top_k * params.candidate_multiplier, keys, vector)
     ranked = pool.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("similarity"), *keys)))
     best = fused(ranked, text.query_names(F.lit(query_text)), params, keys, top_k)
     if contents is not None:
         best = contents.join(F.broadcast(best), keys)  # at most top_k rows
+        if "loaded_at" in contents.columns:
+            version = Window.partitionBy(*keys).orderBy(F.desc("loaded_at"), F.xxhash64("content"))
+            best = best.withColumn("_version", F.row_number().over(version)).where("_version = 1").drop("_version", "loaded_at")
     shown = best.withColumn("match_lines", F.coalesce(text.match_lines(F.col("content"), F.col("start_line"), F.lit(query_text)), F.array().cast("array<struct<line:bigint,content:string>>")))
     return low_score_filter(shown, params.min_score_ratio)

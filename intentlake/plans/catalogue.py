@@ -425,7 +425,7 @@ def definition_list(spark, sf_dir):
 def hybrid_chunk_search(spark, sf_dir):
     """The whole search over the chunks and their vectors, for the first symbol as the query, with the lines that match."""
     probe = _chunk_probe(spark, sf_dir)
-    contents = newest(table(spark, sf_dir, "chunks").select("chunk_id", "content", "start_line", "loaded_at"), "chunk_id", ["content", "start_line"])
+    contents = table(spark, sf_dir, "chunks").select("chunk_id", "content", "start_line", "loaded_at")
     found = ranking.hybrid_search(_chunk_search_rows(spark, sf_dir), probe[0] if probe else [], probe[1] if probe else "", 10, ranking.SearchParams(), ["chunk_id"], contents=contents)
     lines = F.array_join(F.transform("match_lines", lambda m: F.concat(m["line"].cast("string"), F.lit(":"), m["content"])), "\n")
     return found.select("chunk_id", F.round("score", 10).alias("score"), "place", lines.alias("match_lines"))
